@@ -1,0 +1,33 @@
+"""Panels built from the star-schema tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+# Fixed text: the main panel, valid in Spark SQL and in ANSI dialects.
+PANEL_SQL = """
+SELECT l_extendedprice AS y, o_totalprice AS y2,
+       CAST(l_quantity AS double) AS x, l_discount AS x2,
+       l_tax AS c_tax,
+       CASE WHEN p_size % 10 = 0 THEN NULL ELSE CAST(p_size AS double) END AS c_size,
+       CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END AS c_sbal,
+       CASE WHEN l_orderkey % 37 = 0 THEN NULL ELSE p_retailprice END AS c_retail,
+       c_acctbal AS c_cbal,
+       CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_linenumber AS double) END AS z,
+       o_custkey AS firm, p_brand AS ind, year(o_orderdate) AS tm,
+       s_nationkey AS region, c_nationkey AS home,
+       l_partkey * 10 + year(o_orderdate) % 10 AS cell
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN customer ON o_custkey = c_custkey
+JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+"""
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    for name in names:
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "lineitem", "orders", "customer", "part", "supplier")
+    return spark.sql(PANEL_SQL)
