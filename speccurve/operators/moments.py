@@ -8,39 +8,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speccurve.operators.scale import sum_arrays
-
 # Bytes of score moments one task may hold, and of one product inside it.
 MOMENT_BYTES = 64 << 20
 CHUNK_VALUES = 4_000_000
+# Sums that still fit one compiled aggregation.
+COMPILED_SUMS = 100
 
 
-def gram_matrices(rows: DataFrame, n_vars: int, n_samples: int) -> dict[int, np.ndarray]:
+def gram_matrices(rows: DataFrame, n_vars: int) -> dict[int, np.ndarray]:
     """Cross-products of ``v0..`` per sample.
 
-    Each task adds up its batches; the sums per sample (samples of a wave times
-    variables squared) come to the driver.
+    Few variables: plain sums, compiled by Spark.  Many: each task adds up its
+    Arrow batches first.  Either way the sums per sample (samples of a wave
+    times variables squared) come to the driver.
     """
-    values = [f"v{j}" for j in range(n_vars)]
-
-    def partial(batches):
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            sids, data = _matrix(batch, values)
-            for sid in np.unique(sids):
-                part = data[sids == sid]
-                totals[int(sid)] = totals.get(int(sid), 0.0) + part.T @ part
-        for sid, total in totals.items():
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "sid": pa.array([sid], pa.int64()),
-                    "part": pa.array([total.ravel()], pa.list_(pa.float64())),
-                }
-            )
-
-    parts = rows.select("sid", *values).mapInArrow(partial, "sid long, part array<double>")
-    total = sum_arrays(parts, ["sid"], "part", n_samples, n_vars**2)
-    return {r["sid"]: np.array(r["part"]).reshape(n_vars, n_vars) for r in total.collect()}
+    row, col = triangle(n_vars)
+    names = [f"g{i}" for i in range(len(row))]
+    if len(row) <= COMPILED_SUMS:
+        total = cluster_grams(rows, [], n_vars)
+    else:
+        values = [f"v{j}" for j in range(n_vars)]
+
+        def partial(batches):
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                sids, data = _matrix(batch, values)
+                for sid in np.unique(sids):
+                    part = data[sids == sid]
+                    totals[int(sid)] = totals.get(int(sid), 0.0) + part.T @ part
+            for sid, total in totals.items():
+                yield _record({"sid": np.array([sid])}, total[row, col][None, :], names)
+
+        schema = "sid long, " + ", ".join(f"{n} double" for n in names)
+        parts = rows.select("sid", *values).mapInArrow(partial, schema)
+        total = parts.groupBy("sid").agg(*[F.sum(n).alias(n) for n in names])
+    out = {}
+    for found in total.collect():
+        gram = np.zeros((n_vars, n_vars))
+        gram[row, col] = gram[col, row] = [found[n] for n in names]
+        out[found["sid"]] = gram
+    return out
+
+
+def _record(keys: dict[str, np.ndarray], values: np.ndarray, names) -> pa.RecordBatch:
+    columns = {k: pa.array(v, pa.int64()) for k, v in keys.items()}
+    columns.update({n: pa.array(values[:, i], pa.float64()) for i, n in enumerate(names)})
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _matrix(batch, values):
@@ -86,13 +99,12 @@ class ModelBlock:
             for m, k in enumerate(self.kept[sid]):
                 a, b = triangle(len(k))
                 out[m, : len(a)] = total[place[k[a], k[b]], m]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "mid": pa.array(self.mids[sid], pa.int64()),
-                    "kind": pa.array(np.full(len(out), kind), pa.int64()),
-                    "part": pa.array(list(out), pa.list_(pa.float64())),
-                }
-            )
+            keys = {"mid": self.mids[sid], "kind": np.full(len(out), kind)}
+            yield _record(keys, out, self.names)
+
+    @property
+    def names(self) -> list[str]:
+        return [f"p{i}" for i in range(self.width)]
 
 
 def _robust_partial(shared, values):
@@ -159,14 +171,15 @@ def cluster_grams(rows: DataFrame, keys: list[str], n_vars: int) -> DataFrame:
 def score_moments(
     rows: DataFrame, block: ModelBlock, kinds: dict[int, list[str]], n_vars: int
 ) -> DataFrame:
-    """mid, kind, part: sum over clusters of score x score', per model.
+    """mid, kind, part: sum over clusters of score x score', per model (the
+    upper triangle, filled up with zeros to the longest of the block).
 
     ``kinds`` maps a number to the cluster columns; kind 0 takes every row as
     its own cluster.
     """
     shared = rows.sparkSession.sparkContext.broadcast(block)
     values = [f"v{j}" for j in range(n_vars)]
-    schema = "mid long, kind long, part array<double>"
+    schema = "mid long, kind long, " + ", ".join(f"{n} double" for n in block.names)
     union = None
     for kind, keys in kinds.items():
         if kind == 0:
@@ -175,5 +188,5 @@ def score_moments(
             grams = cluster_grams(rows, keys, n_vars).drop(*keys)
             one = grams.mapInArrow(_cluster_partial(shared, n_vars, kind), schema)
         union = one if union is None else union.unionByName(one)
-    n_models = sum(len(m) for m in block.mids.values())
-    return sum_arrays(union, ["mid", "kind"], "part", n_models * len(kinds), block.width)
+    total = union.groupBy("mid", "kind").agg(*[F.sum(n).alias(n) for n in block.names])
+    return total.select("mid", "kind", F.array(*block.names).alias("part"))

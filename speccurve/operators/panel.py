@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from speccurve.operators.scale import cached
 
 WORD_BITS = 62
+SPREAD_ROWS = 50_000
 
 
 def present(df: DataFrame, name: str) -> Column:
@@ -90,8 +91,9 @@ def prepare(
             *[number(panel, n).alias(f"z{i}") for i, n in enumerate(groups)],
         )
     )
-    stats = source.agg(
+    stats = source.withColumn("_part", F.spark_partition_id()).agg(
         F.count("*").alias("n"),
+        F.approx_count_distinct("_part").alias("parts"),
         *[F.count(f"k{i}").alias(f"k{i}") for i in range(len(keys))],
         *[
             f(f"v{i}").alias(f"{label}{i}")
@@ -100,6 +102,13 @@ def prepare(
         ],
     ).first()
     total = stats["n"]
+    workers = panel.sparkSession.sparkContext.defaultParallelism
+    if stats["parts"] < workers and total > SPREAD_ROWS:
+        # A few big input splits would leave cores idle in every later step.
+        spread = cached(source.repartition(workers))
+        spread.count()
+        source.unpersist()
+        source = spread
     holed = [n for i, n in enumerate(names) if stats[f"n{i}"] < total]
     holed += [n for i, n in enumerate(keys) if stats[f"k{i}"] < total and n not in holed]
     bits = {n: i for i, n in enumerate(holed)}

@@ -28,9 +28,8 @@ def expand(panel: Panel, masks: list[tuple[int, ...]], columns: list) -> DataFra
         for test in tests:
             ok = ok & test
         fits.append(F.when(ok, F.lit(sid).cast("long")))
-    return panel.rows.select(
-        F.explode(F.array_compact(F.array(*fits))).alias("sid"), *columns
-    )
+    every = panel.rows.select(F.explode(F.array(*fits)).alias("sid"), *columns)
+    return every.where(F.col("sid").isNotNull())
 
 
 @dataclass

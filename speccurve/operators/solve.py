@@ -120,6 +120,7 @@ class Finisher:
     scale: list[float]
     hidden: dict[int, set[int]]  # focal variable -> regressors not reported
     models: int
+    outcomes: int
     halves: int  # 2 when every sample was split: the lowest bit of mid is the half
 
     def __call__(self, batches):

@@ -89,8 +89,11 @@ def run(
     prepared = prepare(panel, variables, keys, groups, products)
     spark = panel.sparkSession
     done = None
+    grids: dict[frozenset, tuple] = {}
     for absorption in absorptions(job, prepared):
-        models, masks = model_table(spark, job, prepared, focus, absorption)
+        if absorption.needs not in grids:
+            grids[absorption.needs] = model_table(spark, job, prepared, focus, absorption.needs)
+        models, masks = grids[absorption.needs]
         for at in range(0, len(masks), job.samples_per_wave):
             wave = masks[at : at + job.samples_per_wave]
             part = _wave(prepared, job, focus, absorption, models, wave, split)
@@ -106,8 +109,8 @@ def _scope_columns(split) -> list[str]:
     return list(split.keys) if split else []
 
 
-def model_table(spark, job: SpecCurveJob, panel: Panel, focus, absorption: Absorption):
-    """Models of one absorption with their masks, and the distinct masks.
+def model_table(spark, job: SpecCurveJob, panel: Panel, focus, needs: frozenset):
+    """Models with their masks, and the distinct masks.
 
     Model: ``mid`` numbers (y, x, bits); ``order`` is the column order of the
     rank test; ``m0..`` is the bitmap of the variables the model needs.
@@ -138,7 +141,7 @@ def model_table(spark, job: SpecCurveJob, panel: Panel, focus, absorption: Absor
             "before": before,
         }
     ).withColumn("order", F.when(F.size("before") == 0, first).otherwise(last))
-    always = set(absorption.needs)
+    always = set(needs)
     if job.inference == "full":
         always |= set(job.must_names)
     masks = {}
@@ -201,7 +204,7 @@ def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
     residuals, components = absorb(rows, n_effects, n_vars, facts, job.sweep_levels)
     keep = ["sid"] + [f"c{j}" for j in cluster_ids] + [f"v{j}" for j in range(n_vars)]
     residuals = cached(residuals.select(*keep))
-    grams = gram_matrices(residuals, n_vars, len(facts))
+    grams = gram_matrices(residuals, n_vars)
     solved = cached(
         wave_models.select("mid", "sid", "yi", "fi", "must", "test", "is_full", "order")
         .mapInPandas(
@@ -228,6 +231,7 @@ def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
         },
         models=job.model_count,
         halves=2 if split else 1,
+        outcomes=len(job.y),
     )
     result = durable(_finish(solved, residuals, kinds, finisher, n_vars))
     for table in (solved, residuals, rows):
@@ -283,7 +287,7 @@ def _design_facts(design, absorption, cluster_terms, fact: Facts, components: in
 def _finish(solved, residuals, kinds, finisher: Finisher, n_vars: int) -> DataFrame:
     """Add the score moments and compute the result rows."""
     spark = solved.sparkSession
-    count, largest = solved.agg(F.count("*"), F.max(F.size("kept"))).first()
+    count = finisher.models * len(finisher.labels) * finisher.halves * finisher.outcomes
     size = max(1, MOMENT_BYTES // (8 * max(1, n_vars * (n_vars + 1) // 2)))
     moments = None
     blocks = -(-count // size)
