@@ -9,7 +9,7 @@ from dense import fit
 from speccurve import CATALOG, SpecCurveJob, manual_design, spec_curve
 from speccurve.functions.tdist import two_sided_p
 from speccurve.operators import scale
-from speccurve.plans.fixtures import panel as build_panel
+from workload.panels import panel as build_panel
 
 JOB = SpecCurveJob(
     y=("y",),
