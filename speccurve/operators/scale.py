@@ -7,7 +7,7 @@ import tempfile
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A table is broadcast only when its row count times its width stays below.
@@ -18,20 +18,23 @@ HOT_LEVEL_ROWS = 2_000_000
 WINDOW_ROWS = 500_000
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local session
-    without that setting gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of the session's ``spark.checkpoint.dir``.  Only a local
+    session without that setting gets a folder of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and continue from the files."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -54,8 +54,8 @@ SELECT CASE WHEN o_custkey % 3 = 0 THEN 'y1' ELSE 'y0' END AS y,
             ELSE 'ab_firm_time_cl_firm' END AS spec_tag,
        o_orderkey AS bits,
        (o_totalprice - 150000) / 1000 AS coef,
-       CAST(1 + o_custkey % 10 AS double) AS se,
-       (o_totalprice - 150000) / 1000 / CAST(1 + o_custkey % 10 AS double) AS t_value,
+       CAST(7 + o_custkey % 2 * 6 AS double) AS se,
+       (o_totalprice - 150000) / 1000 / CAST(7 + o_custkey % 2 * 6 AS double) AS t_value,
        CAST(o_orderkey % 211 AS double) / 1000 AS p_value,
        1000 + o_custkey % 97 AS obs,
        o_orderkey % 2 = 0 AS in_a,
