@@ -73,13 +73,6 @@ def _level_table(rows: DataFrame, effects, clusters, pairs) -> DataFrame:
     return table.withColumn("set_no", which).drop("gid")
 
 
-def measure(rows: DataFrame, n_effects: int, cluster_ids: list[int], pairs) -> dict[int, Facts]:
-    """Facts of every sample (a driver table bounded by samples x sets)."""
-    return _facts(
-        _level_table(rows, range(n_effects), cluster_ids, pairs), n_effects, cluster_ids, pairs
-    )[0]
-
-
 def _facts(table: DataFrame, n_effects: int, cluster_ids, pairs):
     nested = [
         F.min((F.col(f"lo_{j}") == F.col(f"hi_{j}")).cast("int")).alias(f"nested_{j}")
@@ -111,16 +104,16 @@ def _facts(table: DataFrame, n_effects: int, cluster_ids, pairs):
 
 def settle(
     rows: DataFrame, n_effects: int, cluster_ids: list[int], pairs, drop: bool
-) -> tuple[DataFrame, dict[int, Facts]]:
+) -> tuple[DataFrame, dict[int, Facts], bool]:
     """Remove rows alone in a level of any effect until none is left.
 
-    Returns the remaining rows and their facts.  The state between rounds is
+    Returns the remaining rows, their facts and whether any row went.  The state between rounds is
     the list of removed levels, not the rows: a level that once had a single
     row is gone for good, and a row stays while none of its levels is gone.
     """
     if n_effects == 0 and not cluster_ids:
         counts = rows.groupBy("sid").count().collect()
-        return rows, {r["sid"]: Facts(n=r["count"]) for r in counts}
+        return rows, {r["sid"]: Facts(n=r["count"]) for r in counts}, False
     gone: dict[int, tuple[DataFrame, int]] = {}
     alive = rows
     while True:
@@ -130,7 +123,7 @@ def settle(
         facts, lone = _facts(table, n_effects, cluster_ids, pairs)
         if not drop or not lone:
             table.unpersist()
-            return alive, facts
+            return alive, facts, bool(gone)
         for k, n_lone in lone.items():
             fresh = table.where((F.col("set_no") == k) & (F.col("n_rows") == 1)).select(
                 "sid", f"f{k}"

@@ -37,27 +37,33 @@ class Focus:
 
 @dataclass(frozen=True)
 class Absorption:
-    """Designs that share samples and residuals."""
+    """Designs that absorb the same effects on the same complete cases;
+    ``keepers`` are those that keep singletons."""
 
     fe: tuple[tuple[str, ...], ...]
-    drop: bool
     needs: frozenset[str]
-    designs: tuple[Design, ...]
+    droppers: tuple[Design, ...]
+    keepers: tuple[Design, ...]
+
+    @property
+    def designs(self) -> tuple[Design, ...]:
+        return self.droppers + self.keepers
 
 
 def absorptions(job: SpecCurveJob, panel: Panel) -> list[Absorption]:
-    """Group the designs of a job: same effects, same singleton rule and the
-    same effect and cluster columns with missing values."""
-    found: dict[tuple, list[Design]] = {}
+    """Group the designs of a job: same effects and the same effect and
+    cluster columns with missing values."""
+    found: dict[tuple, tuple[list, list]] = {}
     for design in job.active_designs:
-        drop = bool(design.fe) and job.drop_singletons
+        drops = bool(design.fe) and job.drop_singletons
         # Two-way clustered models keep their singletons in nested mode.
         if job.inference == "nested" and len(design.clusters) == 2:
-            drop = False
+            drops = False
         columns = {c for term in design.fe + design.clusters for c in term}
         needs = frozenset(c for c in columns if c in panel.bits)
-        found.setdefault((design.fe, drop, needs), []).append(design)
-    return [Absorption(*key, tuple(designs)) for key, designs in found.items()]
+        droppers, keepers = found.setdefault((design.fe, needs), ([], []))
+        (droppers if drops else keepers).append(design)
+    return [Absorption(*key, tuple(d), tuple(k)) for key, (d, k) in found.items()]
 
 
 def spec_curve(panel: DataFrame, job: SpecCurveJob) -> DataFrame:
@@ -162,27 +168,16 @@ def model_table(spark, job: SpecCurveJob, panel: Panel, focus, needs: frozenset)
 
 
 def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
-    """Results of the models of a few samples, written to the checkpoint folder."""
+    """Results of the models of a few samples, written to the checkpoint folder.
+
+    When no sample holds a singleton, the designs that drop and those that keep
+    them use the same rows and are estimated together.
+    """
     spark = panel.rows.sparkSession
-    n_vars = len(panel.variables)
-    cluster_terms = list(dict.fromkeys(t for d in absorption.designs for t in d.clusters))
-    pairs = list(
-        dict.fromkeys(
-            tuple(sorted(cluster_terms.index(t) for t in d.clusters))
-            for d in absorption.designs
-            if len(d.clusters) == 2
-        )
-    )
-    n_effects = len(absorption.fe)
-    cluster_ids = list(range(len(cluster_terms)))
-    columns = [panel.key(term).alias(f"f{k}") for k, term in enumerate(absorption.fe)]
-    columns += [panel.key(term).alias(f"c{j}") for j, term in enumerate(cluster_terms)]
-    columns += [f"v{j}" for j in range(n_vars)]
+    setup = Setup(absorption)
+    columns = setup.columns(panel) + [f"v{j}" for j in range(len(panel.variables))]
     extra = [panel.key((c,)).alias(f"s_{c}") for c in _scope_columns(split)]
     extra += [f"z{i}" for i in range(len(panel.groups))]
-
-    rows = expand(panel, masks, columns + extra)
-    rows, facts = settle(rows, n_effects, cluster_ids, pairs, absorption.drop)
     samples = spark.createDataFrame(
         [(*mask, sid) for sid, mask in enumerate(masks)],
         ", ".join(f"m{w} long" for w in range(panel.words)) + ", sid long",
@@ -191,46 +186,88 @@ def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
     # At most samples_per_wave rows.
     wave_models = models.join(F.broadcast(samples), words).drop(*words)
     if split:
-        rows = split(rows).drop(*[c for c in rows.columns if c.startswith(("s_", "z"))])
-        rows, facts = settle(cached(rows), n_effects, cluster_ids, pairs, absorption.drop)
         both = F.explode(F.array(F.lit(0), F.lit(1))).alias("half")
         wave_models = wave_models.select("*", both).withColumns(
-            {
-                "mid": F.expr("mid * 2 + half"),
-                "sid": F.expr("sid * 2 + half"),
-            }
+            {"mid": F.expr("mid * 2 + half"), "sid": F.expr("sid * 2 + half")}
         ).drop("half")
+
+    every = expand(panel, masks, columns + extra)
+    done = None
+    for designs, drop in ((absorption.droppers, True), (absorption.keepers, False)):
+        if not designs:
+            continue
+        rows, facts, removed = settle(
+            every, setup.n_effects, setup.cluster_ids, setup.pairs, drop
+        )
+        if split:
+            helpers = [c for c in rows.columns if c.startswith(("s_", "z"))]
+            rows = cached(split(rows).drop(*helpers))
+            rows, facts, within = settle(
+                rows, setup.n_effects, setup.cluster_ids, setup.pairs, drop
+            )
+            removed = removed or within
+        alike = drop and not removed
+        used = absorption.designs if alike else designs
+        part = _estimate(panel, job, focus, setup, used, wave_models, rows, facts, bool(split))
+        done = part if done is None else done.unionByName(part)
+        if alike:
+            break
+    return done
+
+
+class Setup:
+    """Numbering of the effects and clusters of one absorption."""
+
+    def __init__(self, absorption: Absorption):
+        self.fe = absorption.fe
+        self.n_effects = len(absorption.fe)
+        designs = absorption.designs
+        self.clusters = list(dict.fromkeys(t for d in designs for t in d.clusters))
+        self.cluster_ids = list(range(len(self.clusters)))
+        self.pairs = list(
+            dict.fromkeys(
+                tuple(sorted(self.ids(d))) for d in designs if len(d.clusters) == 2
+            )
+        )
+
+    def ids(self, design: Design) -> list[int]:
+        return [self.clusters.index(t) for t in design.clusters]
+
+    def columns(self, panel: Panel) -> list:
+        effects = [panel.key(t).alias(f"f{k}") for k, t in enumerate(self.fe)]
+        return effects + [panel.key(t).alias(f"c{j}") for j, t in enumerate(self.clusters)]
+
+
+def _estimate(panel, job, focus, setup, designs, models, rows, facts, halved) -> DataFrame:
+    spark = panel.rows.sparkSession
+    n_vars = len(panel.variables)
     rows = cached(rows)
-    residuals, components = absorb(rows, n_effects, n_vars, facts, job.sweep_levels)
-    keep = ["sid"] + [f"c{j}" for j in cluster_ids] + [f"v{j}" for j in range(n_vars)]
+    residuals, components = absorb(rows, setup.n_effects, n_vars, facts, job.sweep_levels)
+    keep = ["sid"] + [f"c{j}" for j in setup.cluster_ids] + [f"v{j}" for j in range(n_vars)]
     residuals = cached(residuals.select(*keep))
     grams = gram_matrices(residuals, n_vars)
+    shared = spark.sparkContext.broadcast((grams, {s: f.n for s, f in facts.items()}))
     solved = cached(
-        wave_models.select("mid", "sid", "yi", "fi", "must", "test", "is_full", "order")
-        .mapInPandas(
-            _solver(spark.sparkContext.broadcast((grams, {s: f.n for s, f in facts.items()}))),
-            SOLVED_SCHEMA,
+        models.select("mid", "sid", "yi", "fi", "must", "test", "is_full", "order").mapInPandas(
+            _solver(shared), SOLVED_SCHEMA
         )
     )
-    kinds, names = _kinds(absorption, cluster_terms, pairs)
+    kinds, names = _kinds(setup, designs)
+    place = {name: i for i, name in enumerate(panel.variables)}
     finisher = Finisher(
         inference=job.inference,
         designs=names,
         facts={
-            sid: [_design_facts(d, absorption, cluster_terms, fact, components.get(sid, 0))
-                  for d in absorption.designs]
+            sid: [_design_facts(d, setup, fact, components.get(sid, 0)) for d in designs]
             for sid, fact in facts.items()
         },
         grams=grams,
         names=panel.variables,
-        labels={panel.variables.index(f.variable): f.label for f in focus.values()},
+        labels={place[f.variable]: f.label for f in focus.values()},
         scale=panel.scale,
-        hidden={
-            panel.variables.index(f.variable): {panel.variables.index(b) for b in f.before}
-            for f in focus.values()
-        },
+        hidden={place[f.variable]: {place[b] for b in f.before} for f in focus.values()},
         models=job.model_count,
-        halves=2 if split else 1,
+        halves=2 if halved else 1,
         outcomes=len(job.y),
     )
     result = durable(_finish(solved, residuals, kinds, finisher, n_vars))
@@ -247,12 +284,12 @@ def _solver(shared):
     return solve
 
 
-def _kinds(absorption: Absorption, cluster_terms, pairs):
+def _kinds(setup: Setup, designs):
     """Number every clustering of the designs; 0 is robust."""
     kinds: dict[int, list[str]] = {}
     names = []
-    for design in absorption.designs:
-        ids = [cluster_terms.index(t) for t in design.clusters]
+    for design in designs:
+        ids = setup.ids(design)
         if not ids:
             kinds[0] = []
             used = ()
@@ -260,7 +297,7 @@ def _kinds(absorption: Absorption, cluster_terms, pairs):
             kinds[ids[0] + 1] = [f"c{ids[0]}"]
             used = (ids[0] + 1,)
         else:
-            both = 1 + len(cluster_terms) + pairs.index(tuple(sorted(ids)))
+            both = 1 + len(setup.clusters) + setup.pairs.index(tuple(sorted(ids)))
             for j in ids:
                 kinds[j + 1] = [f"c{j}"]
             kinds[both] = [f"c{j}" for j in ids]
@@ -269,12 +306,12 @@ def _kinds(absorption: Absorption, cluster_terms, pairs):
     return kinds, names
 
 
-def _design_facts(design, absorption, cluster_terms, fact: Facts, components: int) -> DesignFacts:
-    ids = [cluster_terms.index(t) for t in design.clusters]
+def _design_facts(design, setup: Setup, fact: Facts, components: int) -> DesignFacts:
+    ids = setup.ids(design)
     # Without effects the intercept is the one absorbed level.
-    absorbed = sum(fact.levels.values()) - components if absorption.fe else 1
+    absorbed = sum(fact.levels.values()) - components if setup.fe else 1
     counted = absorbed
-    if ids and absorption.fe:
+    if ids and setup.fe:
         counted = sum(
             n for k, n in fact.levels.items() if not any((k, j) in fact.nested for j in ids)
         )

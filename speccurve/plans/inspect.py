@@ -9,7 +9,7 @@ from speccurve.job import SpecCurveJob
 from speccurve.operators.components import connected_components
 from speccurve.operators.panel import Panel, prepare
 from speccurve.operators.samples import expand, settle
-from speccurve.plans.curve import Focus, absorptions, model_table
+from speccurve.plans.curve import Focus, Setup, absorptions, model_table
 
 
 def _prepared(panel: DataFrame, job: SpecCurveJob) -> Panel:
@@ -38,26 +38,23 @@ def _settled(panel: DataFrame, job: SpecCurveJob):
         models, masks = model_table(
             panel.sparkSession, job, prepared, focus, absorption.needs
         )
-        clusters = list(dict.fromkeys(t for d in absorption.designs for t in d.clusters))
-        columns = [prepared.key(t).alias(f"f{k}") for k, t in enumerate(absorption.fe)]
-        columns += [prepared.key(t).alias(f"c{j}") for j, t in enumerate(clusters)]
+        setup = Setup(absorption)
         for at in range(0, len(masks), job.samples_per_wave):
             wave = masks[at : at + job.samples_per_wave]
-            rows, facts = settle(
-                expand(prepared, wave, columns),
-                len(absorption.fe),
-                list(range(len(clusters))),
-                [],
-                absorption.drop,
-            )
-            yield prepared, absorption, models, wave, clusters, rows, facts
+            every = expand(prepared, wave, setup.columns(prepared))
+            for designs, drop in ((absorption.droppers, True), (absorption.keepers, False)):
+                if designs:
+                    rows, facts, _ = settle(
+                        every, setup.n_effects, setup.cluster_ids, [], drop
+                    )
+                    yield prepared, setup, designs, models, wave, rows, facts
 
 
 def sample_report(panel: DataFrame, job: SpecCurveJob) -> DataFrame:
     """spec_tag, y, x, bits, must, test, is_full, obs: the sample of every model."""
     spark = panel.sparkSession
     out = None
-    for prepared, absorption, models, wave, _, _, facts in _settled(panel, job):
+    for prepared, _, designs, models, wave, _, facts in _settled(panel, job):
         words = [f"m{w}" for w in range(prepared.words)]
         sizes = spark.createDataFrame(
             [(*m, facts[s].n if s in facts else 0) for s, m in enumerate(wave)],
@@ -68,7 +65,7 @@ def sample_report(panel: DataFrame, job: SpecCurveJob) -> DataFrame:
         def named(column):
             return F.transform(column, lambda i: F.element_at(names, i + 1))
 
-        tags = F.explode(F.array(*[F.lit(d.tag) for d in absorption.designs]))
+        tags = F.explode(F.array(*[F.lit(d.tag) for d in designs]))
         # At most samples_per_wave rows on the broadcast side.
         part = models.join(F.broadcast(sizes), words).select(
             tags.alias("spec_tag"),
@@ -89,12 +86,12 @@ def effect_report(panel: DataFrame, job: SpecCurveJob) -> DataFrame:
     cluster of the design or not, and components of the level graph."""
     spark = panel.sparkSession
     found = []
-    for _, absorption, _, _, clusters, rows, facts in _settled(panel, job):
-        parts = connected_components(rows, len(absorption.fe)) if absorption.fe else {}
-        for design in absorption.designs:
-            ids = [clusters.index(t) for t in design.clusters]
+    for _, setup, designs, _, _, rows, facts in _settled(panel, job):
+        parts = connected_components(rows, setup.n_effects) if setup.fe else {}
+        for design in designs:
+            ids = setup.ids(design)
             for sid, fact in facts.items():
-                for k, term in enumerate(absorption.fe):
+                for k, term in enumerate(setup.fe):
                     nested = any((k, j) in fact.nested for j in ids)
                     found.append(
                         (design.tag, sid, "^".join(term), fact.n, fact.levels[k], nested,

@@ -214,7 +214,7 @@ def run_lengths(curve: DataFrame, controls: list[str]) -> DataFrame:
     )
     shade = F.pow(F.col("len") / F.col("max_len"), F.lit(0.6))
     return (
-        attach(runs, longest, CURVE, longest.count())
+        attach(runs, longest, CURVE, curve.select(*CURVE).distinct().count())
         .withColumn("shade", shade)
         .withColumn("grey", F.rint(200 - 200 * F.col("shade")).cast("int"))
     )
