@@ -74,6 +74,7 @@ class SpecCurveJob:
     group: tuple[str, ...] = ()
     # Physical limits; results do not depend on them.
     samples_per_wave: int = 32
+    rows_per_wave: int = 4_000_000_000
     sweep_levels: int = 1000
     must_slots: tuple = field(init=False)
     test_slots: tuple = field(init=False)
@@ -107,6 +108,10 @@ class SpecCurveJob:
         if self.model_count >= 2**62:
             raise ValueError("the model grid does not fit a 64-bit number")
 
+    def wave_size(self, rows: int) -> int:
+        """Samples estimated together: each holds up to every row of the panel."""
+        return max(1, min(self.samples_per_wave, self.rows_per_wave // max(rows, 1)))
+
     def _scoped(self) -> dict[str, tuple[str, ...]]:
         return {
             "by_ind_time": tuple(self.group_by_ind_time) + tuple(self.group),

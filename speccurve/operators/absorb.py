@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from speccurve.operators.components import connected_components
 from speccurve.operators.samples import Facts
-from speccurve.operators.scale import attach, cached, durable, fits_broadcast, sum_arrays
+from speccurve.operators.scale import attach, cached, durable, sum_arrays
 
 # Relative cutoff of the pseudo-inverse of the level equations.
 RANK_CUTOFF = 1e-10
@@ -62,11 +62,8 @@ def absorb(
     table = effects.where("level >= 0")
     for k in rest:
         named = table.select("sid", F.col("level").alias(f"i{k}"), F.col("effect").alias("_e"))
-        if not fits_broadcast(len(facts) * n_levels, n_vars):
-            joined = rows.join(named, ["sid", f"i{k}"])
-        else:
-            joined = rows.join(F.broadcast(named), ["sid", f"i{k}"])
-        rows = joined.withColumns(
+        # At most samples_per_wave x sweep_levels rows.
+        rows = rows.join(F.broadcast(named), ["sid", f"i{k}"]).withColumns(
             {v: F.col(v) - F.col("_e")[j] for j, v in enumerate(values)}
         ).drop("_e")
     return _subtract(rows, _means(rows, keys, values), keys, values, n_main), components

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 # A level with more rows than this is joined by broadcast, never by shuffle.
 HOT_LEVEL_ROWS = 2_000_000
+# Partial arrays added up in one task.
+BUCKET_BYTES = 64 << 20
 # Largest group handed to one window task.
 WINDOW_ROWS = 500_000
 
@@ -76,9 +78,10 @@ def sum_arrays(df: DataFrame, keys: list[str], column: str, n_keys: int, width:
     """Element-wise sum of equally long arrays per (integer) key.
 
     The input holds one partial array per task and key.  Keys are spread over
-    enough buckets to keep the arrays of one bucket near 32 MB per 64 tasks.
+    enough buckets to keep the arrays of one bucket near ``BUCKET_BYTES``.
     """
-    buckets = int(max(1, min(n_keys, -(-n_keys * width * 8 * 64 // (32 << 20)))))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(max(1, min(n_keys, -(-n_keys * width * 8 * tasks // BUCKET_BYTES))))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf[keys].to_numpy()
@@ -116,7 +119,9 @@ def positions(df: DataFrame, part: list[str], order: list, out: str = "pos") ->
     if largest <= WINDOW_ROWS:
         window = Window.partitionBy(*part).orderBy(*names)
         return df.withColumn(out, (F.row_number().over(window) - 1).cast("long")).drop(*names)
-    keys = part + names
+    # The last key spreads rows that agree in everything else.
+    df = df.withColumn("_tie", F.monotonically_increasing_id())
+    keys = [*part, *names, "_tie"]
     ranged = durable(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
     ranged = ranged.withColumn("_row", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_part", F.shiftright("_row", 33))
@@ -131,5 +136,5 @@ def positions(df: DataFrame, part: list[str], order: list, out: str = "pos") ->
     return (
         ranged.join(pieces.drop("_size"), part + ["_part"])
         .withColumn(out, F.col("_row") - F.col("_first") + F.col("_offset"))
-        .drop("_row", "_part", "_first", "_offset", *names)
+        .drop("_row", "_part", "_first", "_offset", "_tie", *names)
     )

@@ -100,8 +100,9 @@ def run(
         if absorption.needs not in grids:
             grids[absorption.needs] = model_table(spark, job, prepared, focus, absorption.needs)
         models, masks = grids[absorption.needs]
-        for at in range(0, len(masks), job.samples_per_wave):
-            wave = masks[at : at + job.samples_per_wave]
+        size = job.wave_size(prepared.n_rows)
+        for at in range(0, len(masks), size):
+            wave = masks[at : at + size]
             part = _wave(prepared, job, focus, absorption, models, wave, split)
             done = part if done is None else done.unionByName(part)
     prepared.source.unpersist()
@@ -207,6 +208,10 @@ def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
             )
             removed = removed or within
         alike = drop and not removed
+        if removed and not split:
+            # Joins stand between the panel and these rows; without them the
+            # rows are a projection of the stored panel and are not stored again.
+            rows = cached(rows)
         used = absorption.designs if alike else designs
         part = _estimate(panel, job, focus, setup, used, wave_models, rows, facts, bool(split))
         done = part if done is None else done.unionByName(part)
@@ -241,7 +246,6 @@ class Setup:
 def _estimate(panel, job, focus, setup, designs, models, rows, facts, halved) -> DataFrame:
     spark = panel.rows.sparkSession
     n_vars = len(panel.variables)
-    rows = cached(rows)
     residuals, components = absorb(rows, setup.n_effects, n_vars, facts, job.sweep_levels)
     keep = ["sid"] + [f"c{j}" for j in setup.cluster_ids] + [f"v{j}" for j in range(n_vars)]
     residuals = cached(residuals.select(*keep))

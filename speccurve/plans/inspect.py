@@ -39,8 +39,9 @@ def _settled(panel: DataFrame, job: SpecCurveJob):
             panel.sparkSession, job, prepared, focus, absorption.needs
         )
         setup = Setup(absorption)
-        for at in range(0, len(masks), job.samples_per_wave):
-            wave = masks[at : at + job.samples_per_wave]
+        size = job.wave_size(prepared.n_rows)
+        for at in range(0, len(masks), size):
+            wave = masks[at : at + size]
             every = expand(prepared, wave, setup.columns(prepared))
             for designs, drop in ((absorption.droppers, True), (absorption.keepers, False)):
                 if designs:
