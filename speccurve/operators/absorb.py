@@ -52,7 +52,7 @@ def absorb(
     for k, (table, size) in dictionaries.items():
         rows = rows.join(F.broadcast(table), f"f{k}")
         n_levels += size
-    effects = cached(_sweep(rows, main, rest, values, n_levels, len(facts)))
+    effects = durable(_sweep(rows, main, rest, values, n_levels, len(facts)))
     # The level graph is a star around the first effect, see README.
     if main == 0 or n_effects == 2:
         parts = effects.where("level < 0").select("sid", F.element_at("effect", 1)).collect()

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from speccurve.operators.scale import cached
 
 WORD_BITS = 62
-SPREAD_ROWS = 50_000
+SPREAD_ROWS = 200_000
 
 
 def present(df: DataFrame, name: str) -> Column:

@@ -197,12 +197,14 @@ def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
     for designs, drop in ((absorption.droppers, True), (absorption.keepers, False)):
         if not designs:
             continue
+        held = []
         rows, facts, removed = settle(
             every, setup.n_effects, setup.cluster_ids, setup.pairs, drop
         )
         if split:
             helpers = [c for c in rows.columns if c.startswith(("s_", "z"))]
             rows = cached(split(rows).drop(*helpers))
+            held.append(rows)
             rows, facts, within = settle(
                 rows, setup.n_effects, setup.cluster_ids, setup.pairs, drop
             )
@@ -212,9 +214,12 @@ def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
             # Joins stand between the panel and these rows; without them the
             # rows are a projection of the stored panel and are not stored again.
             rows = cached(rows)
+            held.append(rows)
         used = absorption.designs if alike else designs
         part = _estimate(panel, job, focus, setup, used, wave_models, rows, facts, bool(split))
         done = part if done is None else done.unionByName(part)
+        for table in held:
+            table.unpersist()
         if alike:
             break
     return done
@@ -275,7 +280,7 @@ def _estimate(panel, job, focus, setup, designs, models, rows, facts, halved) ->
         outcomes=len(job.y),
     )
     result = durable(_finish(solved, residuals, kinds, finisher, n_vars))
-    for table in (solved, residuals, rows):
+    for table in (solved, residuals):
         table.unpersist()
     return result
 

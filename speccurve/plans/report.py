@@ -426,6 +426,22 @@ def curve_choices(results: DataFrame, y=None, x=None) -> DataFrame:
     return out.groupBy(*CURVE).agg(F.count("*").alias("models"))
 
 
+def choose_curve(results: DataFrame, job: SpecCurveJob, y: str, x=None, spec_tag=None) -> DataFrame:
+    """The curve to show for an outcome: the wanted regressor and design where
+    they exist for it, otherwise the first of the job."""
+
+    def rank(column, wanted, names):
+        place = F.array_position(F.array(*map(F.lit, names)), F.col(column))
+        return F.when(F.col(column) == F.lit(wanted), 0).otherwise(place)
+
+    tags = [d.tag for d in job.active_designs]
+    order = F.struct(rank("x", x, job.x), rank("spec_tag", spec_tag, tags))
+    found = curve_choices(results, y).groupBy("y").agg(
+        F.min_by(F.struct("x", "spec_tag", "models"), order).alias("m")
+    )
+    return found.select("y", "m.*")
+
+
 def model_detail(results: DataFrame, job: SpecCurveJob) -> DataFrame:
     """One row per model and listed control: mandatory ones that are included,
     then every optional one, with badge, coefficient and p (blank when the

@@ -23,7 +23,7 @@ LISTS = {
     "controls_all": RESULT_FIELDS["controls_all"],
     "control_stats": RESULT_FIELDS["control_stats"],
 }
-KEYS = ["y", "x", "spec_name", "spec_tag", "bits"]
+KEYS = ["y", "x", "spec_name", "spec_tag", "bits", "grouping_variable", "group_value"]
 
 
 def to_saved(results: DataFrame) -> DataFrame:
@@ -73,15 +73,16 @@ def write_results(results: DataFrame, path: str, kind: str = "parquet", by_curve
         writer.parquet(path)
 
 
-def read_results(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+def read_results(spark: SparkSession, path: str, file_kind: str = "parquet") -> DataFrame:
     """Results saved by :func:`write_results` or in the same flat CSV form."""
-    if kind == "csv":
+    if file_kind == "csv":
         flat = spark.read.option("header", True).option("escape", '"').csv(path)
     else:
         flat = spark.read.parquet(path)
     flat = flat.drop("y_dir", "x_dir", "spec_tag_dir")
-    if "bits" in flat.columns:
-        flat = flat.withColumn("bits", F.col("bits").cast("long"))
+    for name, kind in (("bits", "long"), ("group_value", "int")):
+        if name in flat.columns:
+            flat = flat.withColumn(name, F.col(name).cast(kind))
     return from_saved(flat)
 
 

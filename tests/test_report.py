@@ -117,6 +117,9 @@ def test_results_round_trip(spark, models, tmp_path, kind):
     want = sorted(map(repr, models.select(*columns).collect()))
     assert sorted(map(repr, back.select(*columns).collect())) == want
     assert report.run_summary(back).count() == 4
+    halves = models.withColumns({"grouping_variable": F.lit("z"), "group_value": F.lit(1)})
+    write_results(halves, path, kind)
+    assert read_results(spark, path, kind).where("group_value = 1").count() == models.count()
 
 
 def test_saved_csv_tolerates_gaps(spark, tmp_path):

@@ -141,7 +141,10 @@ def run_summary(spark, sf_dir):
     return report.run_summary(order_models(spark, sf_dir))
 
 
-for _order, _key in (("coef", "coef"), ("p", SIGNED_P), ("obs", "obs")):
+_PAGE_P = "sign(coef) / greatest(p_value, 1e-300)"
+for _order, _key in (
+    ("coef", "coef"), ("p", SIGNED_P), ("signed_p", _PAGE_P), ("obs", "obs")
+):
 
     @query(
         f"curve_by_{_order}",
@@ -383,6 +386,18 @@ def curve_choices(spark, sf_dir):
     return report.curve_choices(order_models(spark, sf_dir), y="y1")
 
 
+@query(
+    "choose_curve",
+    WITH + "SELECT y, x, spec_tag, models FROM (SELECT y, x, spec_tag, count(*) AS models, "
+    "row_number() OVER (PARTITION BY y ORDER BY CASE WHEN x = 'x1' THEN 0 ELSE 1 END, "
+    "CASE WHEN spec_tag = 'ab_firm_time_cl_firm' THEN 1 ELSE 2 END) AS n FROM r "
+    "WHERE y = 'y1' AND x <> 'x0' GROUP BY y, x, spec_tag) WHERE n = 1",
+)
+def choose_curve(spark, sf_dir):
+    models = order_models(spark, sf_dir).where("x <> 'x0'")
+    return report.choose_curve(models, JOB, "y1", x="x0", spec_tag="absent")
+
+
 @query(
     "interaction_match",
     WITH.rstrip() + ", k AS (SELECT y, spec_tag, " + CONTROLS + " AS controls, "
