@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from speccurve.deploy import ship
 from speccurve.operators.scale import cached
 
 WORD_BITS = 62
@@ -81,6 +82,7 @@ def prepare(
     ``products`` are (name, a, b): a variable that is the product of two
     columns, used by interaction curves.
     """
+    ship(panel.sparkSession)
     made = {name: number(panel, a) * number(panel, b) for name, a, b in products}
     names = list(variables) + list(made)
     columns = [made.get(n, None) if n in made else number(panel, n) for n in names]
