@@ -7,7 +7,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from speccurve.operators.components import connected_components
 from speccurve.operators.samples import Facts
@@ -20,11 +19,17 @@ ITERATE_ROUNDS = 2000
 
 
 def absorb(
-    rows: DataFrame, n_effects: int, n_vars: int, facts: dict[int, Facts], sweep_levels: int
+    rows: DataFrame,
+    n_effects: int,
+    n_vars: int,
+    facts: dict[int, Facts],
+    coded: dict[int, int],
+    sweep_levels: int,
 ) -> tuple[DataFrame, dict[int, int]]:
     """Residuals of every variable after projecting out all effects.
 
-    Returns the rows with ``v0..`` replaced by their residuals, and the number
+    ``coded`` gives the number of levels of every effect whose key is a running
+    number.  Returns the rows with ``v0..`` replaced by their residuals, and the number
     of connected components of the level graph per sample (0 without effects).
     """
     values = [f"v{j}" for j in range(n_vars)]
@@ -41,17 +46,18 @@ def absorb(
             dict.fromkeys(facts, 1),
         )
     rest = [k for k in range(n_effects) if k != main]
-    dictionaries = _dictionaries(rows, rest, sweep_levels)
-    if dictionaries is None:
+    n_levels = sum(coded.get(k, sweep_levels + 1) for k in rest)
+    if n_levels > sweep_levels:
         effects = _iterate(rows, n_effects, values)
         for k in range(n_effects):
-            n_levels = sum(f.levels[k] for f in facts.values())
-            rows = _subtract(rows, effects[k], ["sid", f"f{k}"], values, n_levels)
+            found = sum(f.levels[k] for f in facts.values())
+            rows = _subtract(rows, effects[k], ["sid", f"f{k}"], values, found)
         return rows, connected_components(rows, n_effects)
-    n_levels = 0
-    for k, (table, size) in dictionaries.items():
-        rows = rows.join(F.broadcast(table), f"f{k}")
-        n_levels += size
+    # The levels of the minor effects are stacked: one number for each.
+    offset = 0
+    for k in rest:
+        rows = rows.withColumn(f"i{k}", F.col(f"f{k}") + F.lit(offset))
+        offset += coded[k]
     effects = durable(_sweep(rows, main, rest, values, n_levels, len(facts)))
     # The level graph is a star around the first effect, see README.
     if main == 0 or n_effects == 2:
@@ -82,27 +88,6 @@ def _subtract(rows: DataFrame, means: DataFrame, keys, values, n_levels: int) ->
     )
 
 
-def _dictionaries(rows: DataFrame, rest, limit: int) -> dict[int, tuple] | None:
-    """Running numbers for the levels of the minor effects with their counts,
-    or None when there are more than ``limit`` of them."""
-    out, used = {}, 0
-    for k in rest:
-        found = rows.select(f"f{k}").distinct().limit(limit - used + 1).collect()
-        if used + len(found) > limit:
-            return None
-        ordered = sorted(r[0] for r in found)
-        schema = T.StructType(
-            [
-                T.StructField(f"f{k}", rows.schema[f"f{k}"].dataType),
-                T.StructField(f"i{k}", T.LongType()),
-            ]
-        )
-        numbered = [(level, used + i) for i, level in enumerate(ordered)]
-        out[k] = (rows.sparkSession.createDataFrame(numbered, schema), len(ordered))
-        used += len(ordered)
-    return out
-
-
 def _sweep(
     rows: DataFrame, main: int, rest, values, n_levels: int, n_samples: int
 ) -> DataFrame:

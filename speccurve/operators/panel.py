@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +56,7 @@ class Panel:
     mean: list[float]
     scale: list[float]
     bits: dict[str, int]
+    codes: dict[tuple[str, ...], tuple[DataFrame, int] | None] = field(default_factory=dict)
 
     @property
     def words(self) -> int:
@@ -69,6 +70,24 @@ class Panel:
                 out[self.bits[name] // WORD_BITS] |= 1 << self.bits[name] % WORD_BITS
         return tuple(out)
 
+    def code(self, term: tuple[str, ...], limit: int) -> tuple[DataFrame, int] | None:
+        """Running numbers for the levels of a term (columns ``level``,
+        ``code``) and their count, or None beyond ``limit`` levels."""
+        if term not in self.codes:
+            parts = [f"k{self.keys.index(name)}" for name in term]
+            levels = self.rows.dropna(subset=parts).select(self.key(term).alias("level"))
+            found = levels.distinct().limit(limit + 1).collect()
+            table = None
+            if len(found) <= limit:
+                kind = T.StructType(
+                    [levels.schema["level"], T.StructField("code", T.LongType())]
+                )
+                numbered = enumerate(sorted(r[0] for r in found))
+                data = [(level, code) for code, level in numbered]
+                table = (self.rows.sparkSession.createDataFrame(data, kind), len(data))
+            self.codes[term] = table
+        return self.codes[term]
+
     def key(self, term: tuple[str, ...]) -> Column:
         parts = [F.col(f"k{self.keys.index(name)}") for name in term]
         return parts[0] if len(parts) == 1 else F.struct(*parts)

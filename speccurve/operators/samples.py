@@ -11,9 +11,14 @@ from speccurve.operators.panel import Panel
 from speccurve.operators.scale import cached, durable, without
 
 
-def expand(panel: Panel, masks: list[tuple[int, ...]], columns: list) -> DataFrame:
+def expand(
+    panel: Panel, masks: list[tuple[int, ...]], columns: list, coded: dict | None = None
+) -> DataFrame:
     """Every row once per sample that admits it; ``sid`` is the mask's place.
 
+    ``coded`` maps an output name to (key, code table): short keys instead of
+    text or structs.  A code table has at most ``sweep_levels`` rows.
+
     The masks are literals of the plan, so this is a narrow projection: no
     join and no shuffle.
     """
@@ -28,7 +33,11 @@ def expand(panel: Panel, masks: list[tuple[int, ...]], columns: list) -> DataFra
         for test in tests:
             ok = ok & test
         fits.append(F.when(ok, F.lit(sid).cast("long")))
-    every = panel.rows.select(F.explode(F.array(*fits)).alias("sid"), *columns)
+    rows = panel.rows
+    for name, (key, table) in (coded or {}).items():
+        named = table.select(F.col("level").alias(f"_{name}"), F.col("code").alias(name))
+        rows = rows.join(F.broadcast(named), key == F.col(f"_{name}"), "left").drop(f"_{name}")
+    every = rows.select(F.explode(F.array(*fits)).alias("sid"), *columns, *(coded or {}))
     return every.where(F.col("sid").isNotNull())
 
 

@@ -175,7 +175,7 @@ def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
     them use the same rows and are estimated together.
     """
     spark = panel.rows.sparkSession
-    setup = Setup(absorption)
+    setup = Setup(absorption, panel, job.sweep_levels)
     columns = setup.columns(panel) + [f"v{j}" for j in range(len(panel.variables))]
     extra = [panel.key((c,)).alias(f"s_{c}") for c in _scope_columns(split)]
     extra += [f"z{i}" for i in range(len(panel.groups))]
@@ -192,7 +192,7 @@ def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
             {"mid": F.expr("mid * 2 + half"), "sid": F.expr("sid * 2 + half")}
         ).drop("half")
 
-    every = expand(panel, masks, columns + extra)
+    every = expand(panel, masks, columns + extra, setup.coded(panel))
     done = None
     for designs, drop in ((absorption.droppers, True), (absorption.keepers, False)):
         if not designs:
@@ -228,7 +228,7 @@ def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
 class Setup:
     """Numbering of the effects and clusters of one absorption."""
 
-    def __init__(self, absorption: Absorption):
+    def __init__(self, absorption: Absorption, panel: Panel, limit: int):
         self.fe = absorption.fe
         self.n_effects = len(absorption.fe)
         designs = absorption.designs
@@ -240,18 +240,42 @@ class Setup:
             )
         )
 
+        terms = {f"f{k}": t for k, t in enumerate(self.fe)}
+        terms |= {f"c{j}": t for j, t in enumerate(self.clusters)}
+        self.codes = {name: panel.code(term, limit) for name, term in terms.items()}
+        self.terms = terms
+
     def ids(self, design: Design) -> list[int]:
         return [self.clusters.index(t) for t in design.clusters]
 
     def columns(self, panel: Panel) -> list:
-        effects = [panel.key(t).alias(f"f{k}") for k, t in enumerate(self.fe)]
-        return effects + [panel.key(t).alias(f"c{j}") for j, t in enumerate(self.clusters)]
+        """Keys with too many levels for a code table, as they are."""
+        return [
+            panel.key(term).alias(name)
+            for name, term in self.terms.items()
+            if self.codes[name] is None
+        ]
+
+    def coded(self, panel: Panel) -> dict:
+        return {
+            name: (panel.key(term), self.codes[name][0])
+            for name, term in self.terms.items()
+            if self.codes[name] is not None
+        }
+
+    @property
+    def level_counts(self) -> dict[int, int]:
+        """Levels of the effects that are coded."""
+        found = {k: self.codes[f"f{k}"] for k in range(self.n_effects)}
+        return {k: code[1] for k, code in found.items() if code is not None}
 
 
 def _estimate(panel, job, focus, setup, designs, models, rows, facts, halved) -> DataFrame:
     spark = panel.rows.sparkSession
     n_vars = len(panel.variables)
-    residuals, components = absorb(rows, setup.n_effects, n_vars, facts, job.sweep_levels)
+    residuals, components = absorb(
+        rows, setup.n_effects, n_vars, facts, setup.level_counts, job.sweep_levels
+    )
     keep = ["sid"] + [f"c{j}" for j in setup.cluster_ids] + [f"v{j}" for j in range(n_vars)]
     residuals = cached(residuals.select(*keep))
     grams = gram_matrices(residuals, n_vars)

@@ -39,11 +39,11 @@ def _settled(panel: DataFrame, job: SpecCurveJob):
         models, masks = model_table(
             panel.sparkSession, job, prepared, focus, absorption.needs
         )
-        setup = Setup(absorption)
+        setup = Setup(absorption, prepared, job.sweep_levels)
         size = job.wave_size(prepared.n_rows)
         for at in range(0, len(masks), size):
             wave = masks[at : at + size]
-            every = expand(prepared, wave, setup.columns(prepared))
+            every = expand(prepared, wave, setup.columns(prepared), setup.coded(prepared))
             for designs, drop in ((absorption.droppers, True), (absorption.keepers, False)):
                 if designs:
                     rows, facts, _ = settle(
