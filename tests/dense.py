@@ -30,7 +30,7 @@ def components(df, fe):
             a = parent[a]
         return a
 
-    for row in df[[c for t in fe for c in t]].drop_duplicates().to_dict("records"):
+    for row in df[list(dict.fromkeys(c for t in fe for c in t))].drop_duplicates().to_dict("records"):
         keys = [(k,) + tuple(row[c] for c in t) for k, t in enumerate(fe)]
         for other in keys:
             parent[find(other)] = find(keys[0])

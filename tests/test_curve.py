@@ -149,3 +149,11 @@ def test_model_blocks_and_many_variables(panel, frame, monkeypatch):
     monkeypatch.setattr(moments, "COMPILED_SUMS", 0)
     job = replace(JOB, test=("c_cbal", "x2"))
     check(spec_curve(panel, job), frame, job, job.active_designs)
+
+
+def test_several_bitmap_words(panel, frame, monkeypatch):
+    import speccurve.operators.panel as panel_module
+
+    monkeypatch.setattr(panel_module, "WORD_BITS", 1)
+    job = replace(JOB, must=(), test=("c_size", "c_retail"), designs=("no_absorb_robust",))
+    check(spec_curve(panel, job), frame, job, job.active_designs)
