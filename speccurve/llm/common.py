@@ -70,14 +70,15 @@ def map_texts(
             if not batch.num_rows:
                 continue
             text = batch.column(len(columns) - 1)
-            for lo, hi in _slices(text):
+            for lo, hi in text_slices(text):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(work(part.columns), names=names)
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def _slices(text: pa.Array):
+def text_slices(text: pa.Array):
+    """Bounds of runs of rows with some 4 MB of text; a longer text is alone."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)

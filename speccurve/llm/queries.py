@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speccurve.llm import sharding
+from speccurve.llm import sharding, token_files
 
 SHARDS = 40
+TOKENIZERS = "/opt/tokenizers"
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; ``TOKENIZERS`` where the package is not there."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +31,16 @@ def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids in Arrow files, and what the files hold."""
+    files = token_files.write_token_files(
+        table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1
+    )
+    return token_files.read_documents(files)
+
+
 QUERIES = {
+    "op10_token_files": op10_token_files,
     "op4_rendezvous_shards": op4_rendezvous_shards,
 }
 
