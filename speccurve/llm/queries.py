@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speccurve.llm import sharding, token_files
+from speccurve.llm import quality, sharding, token_files
 
 SHARDS = 40
 TOKENIZERS = "/opt/tokenizers"
@@ -39,7 +39,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(files)
 
 
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule votes weighed by EM over all documents; kept from a posterior of one half."""
+    return quality.quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", (~F.col("base_failed") & (F.col("quality") >= 0.5)).alias("kept"),
+        "quality",
+    )
+
+
 QUERIES = {
+    "op7_weak_supervision": op7_weak_supervision,
     "op10_token_files": op10_token_files,
     "op4_rendezvous_shards": op4_rendezvous_shards,
 }
