@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speccurve.llm import quality, sharding, token_files
+from speccurve.llm import pieces, quality, sharding, token_files
 
 SHARDS = 40
 TOKENIZERS = "/opt/tokenizers"
@@ -48,7 +48,20 @@ def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents, and of the texts made from them."""
+    coded = pieces.encode_pieces(
+        table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
+    )
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op6_prefix_table_pieces": op6_prefix_table_pieces,
     "op7_weak_supervision": op7_weak_supervision,
     "op10_token_files": op10_token_files,
     "op4_rendezvous_shards": op4_rendezvous_shards,
