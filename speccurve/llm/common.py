@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -45,6 +46,17 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+_KEPT: dict[tuple[type, bytes], object] = {}
+
+
+def per_worker(kind: type, model: bytes):
+    """``kind(model)``, made once per Python process, which runs many tasks."""
+    key = kind, hashlib.sha256(model).digest()
+    if key not in _KEPT:
+        _KEPT[key] = kind(model)
+    return _KEPT[key]
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

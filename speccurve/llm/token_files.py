@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from speccurve.deploy import ship
-from speccurve.llm.common import shared_folder, stored, text_slices
+from speccurve.llm.common import per_worker, shared_folder, stored, text_slices
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
@@ -241,7 +241,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = WordEncoder(blob.value)
+                encoder = per_worker(WordEncoder, blob.value)
                 fs, base = _open(folder)
                 fs.create_dir(base, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
