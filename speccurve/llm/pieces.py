@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speccurve.llm.common import map_texts
+from speccurve.llm.common import map_texts, per_worker
 
 SPACE = "▁"
 # Segments whose ids a task remembers, twice at most, and pairs of tokens.
@@ -243,7 +243,7 @@ def encode_pieces(
     types = [(f"k{i}", df.schema[c].dataType.simpleString()) for i, c in enumerate((key, *keep))]
 
     def start():
-        encoder = PieceEncoder(blob.value)
+        encoder = per_worker(PieceEncoder, blob.value)
 
         def work(columns):
             coded = [encoder.encode(x or "") for x in columns[-1].to_pylist()]
