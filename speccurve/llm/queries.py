@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speccurve.llm import pieces, quality, sharding, token_files
+from speccurve.llm import decontaminate, pieces, quality, sharding, token_files
 
 SHARDS = 40
 TOKENIZERS = "/opt/tokenizers"
@@ -60,11 +60,49 @@ def op6_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside windows of the benchmark."""
+    found = decontaminate.decontaminate(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS = (
+    "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+k AS (SELECT item_id, w, least(len(w), 10) AS n FROM i WHERE len(w) > 0),
+win AS (SELECT item_id, n, list_slice(w, s + 1, s + n) AS x
+        FROM (SELECT item_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM k)),
+spots AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s
+          FROM d, (SELECT DISTINCT n FROM k) WHERE len(w) >= n),
+hits AS (SELECT doc_id, s, spots.n, item_id FROM spots
+         JOIN win ON win.n = spots.n AND win.x = list_slice(spots.w, s + 1, s + spots.n)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS varchar) AS name FROM hits)
+          GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 QUERIES = {
+    "op2_prefix_decontamination": op2_prefix_decontamination,
     "op6_prefix_table_pieces": op6_prefix_table_pieces,
     "op7_weak_supervision": op7_weak_supervision,
     "op10_token_files": op10_token_files,
     "op4_rendezvous_shards": op4_rendezvous_shards,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_prefix_decontamination": OP2_SQL}
