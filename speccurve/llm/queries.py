@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speccurve.llm import decontaminate, pieces, quality, sharding, token_files
+from speccurve.llm import decontaminate, near_dup, pieces, quality, sharding, token_files
 
 SHARDS = 40
 TOKENIZERS = "/opt/tokenizers"
@@ -97,7 +97,17 @@ SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents with two-word sets of 80 % or more in common."""
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+    return found.select(
+        "doc_id", "n_shingles", F.col("component").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"),
+    )
+
+
 QUERIES = {
+    "op5_chosen_path": op5_chosen_path,
     "op2_prefix_decontamination": op2_prefix_decontamination,
     "op6_prefix_table_pieces": op6_prefix_table_pieces,
     "op7_weak_supervision": op7_weak_supervision,
