@@ -19,7 +19,7 @@ from speccurve.llm.common import per_worker, shared_folder, stored, text_slices
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 # Words whose ids a task remembers, twice at most.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 1_000_000
 # Texts longer than this are cut at white space before they are split into words.
 LONG_TEXT = 4 << 20
 
