@@ -76,17 +76,17 @@ _FACTORS = _seeds(PLACES, 1) | np.uint64(1)
 _SHIFTS = _seeds(PLACES, 2)
 
 
-def signature(h: np.ndarray) -> np.ndarray:
-    """The least 32-bit hash of a set for each place."""
-    out = np.full(PLACES, 0xFFFFFFFF, np.uint64)
+def signature(h: np.ndarray, places: int = PLACES) -> np.ndarray:
+    """The least 32-bit hash of a set for each of ``places`` (PLACES at most)."""
+    out = np.full(places, 0xFFFFFFFF, np.uint64)
     for lo in range(0, len(h), 4096):
-        part = h[lo : lo + 4096, None] * _FACTORS + _SHIFTS
+        part = h[lo : lo + 4096, None] * _FACTORS[:places] + _SHIFTS[:places]
         out = np.minimum(out, (part >> np.uint64(32)).min(axis=0))
     return out.astype(np.uint32)
 
 
-def _signed(sets: DataFrame) -> DataFrame:
-    """key, n_shingles, two hashes of the whole set, signature."""
+def signed_sets(sets: DataFrame, places: int = PLACES) -> DataFrame:
+    """key, n_shingles, two hashes of the whole set, signature, for (key, h)."""
     ship(sets.sparkSession)
     salts = _seeds(2, 3)
 
@@ -104,7 +104,7 @@ def _signed(sets: DataFrame) -> DataFrame:
                     own = flat[at[i] : at[i + 1]]
                     for k in range(2):
                         sums[k, i] = mix(own ^ salts[k]).sum(dtype=np.uint64)
-                    signs.append(signature(own).tobytes())
+                    signs.append(signature(own, places).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(at[1:] - at[:-1]), pa.array(sums[0].view(np.int64)),
                      pa.array(sums[1].view(np.int64)), pa.array(signs, pa.binary())],
@@ -122,10 +122,11 @@ def grow(path: np.ndarray, who: np.ndarray, signs: np.ndarray, share: float):
 
     A node chooses a second place with probability 1 / ``share`` - 1.
     """
-    first = mix(path ^ np.uint64(0xA5)) % np.uint64(PLACES)
+    places = np.uint64(signs.shape[1])
+    first = mix(path ^ np.uint64(0xA5)) % places
     second = (mix(path ^ np.uint64(0x5A)) >> np.uint64(11)).astype(float) / 2.0**53
     more = second < 1 / share - 1
-    other = mix(path[more] ^ np.uint64(0xC3)) % np.uint64(PLACES)
+    other = mix(path[more] ^ np.uint64(0xC3)) % places
     path, who = np.r_[path, path[more]], np.r_[who, who[more]]
     place = np.r_[first, other]
     token = signs[who, place.astype(np.int64)].astype(np.uint64)
@@ -146,7 +147,7 @@ def _descend(rows: DataFrame, levels: int, share: float, trees: int | None) -> D
                 if not n:
                     continue
                 signs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32)
-                signs = signs.reshape(n, PLACES)
+                signs = signs.reshape(n, -1)
                 if trees is None:
                     path, who = part.column(2).to_numpy().view(np.uint64), np.arange(n)
                 else:
@@ -177,10 +178,10 @@ def _compare(rows: DataFrame, least: float, own_only: bool) -> DataFrame:
     ship(rows.sparkSession)
 
     def pairs(reps, parts, signs):
-        signs = np.frombuffer(b"".join(signs), np.uint32).reshape(len(reps), PLACES)
+        signs = np.frombuffer(b"".join(signs), np.uint32).reshape(len(reps), -1)
         parts = np.array(parts)
         for i in range(len(reps) - 1):
-            agree = (signs[i + 1 :] == signs[i]).sum(axis=1) / PLACES
+            agree = (signs[i + 1 :] == signs[i]).mean(axis=1)
             for k in np.flatnonzero((agree >= least) & (parts[i + 1 :] != parts[i])).tolist():
                 yield i, i + 1 + k, float(agree[k])
 
@@ -293,28 +294,68 @@ def near_duplicates(
     copies costs some links per class and not all pairs.
     """
     share = percent / 100
-    least = share - SLACK * (share * (1 - share) / PLACES) ** 0.5
     named = df.where(F.col(key).isNotNull())
-    signed = stored(_signed(shingle_sets(named, key, text, shingle)), "signatures")
-    classes = stored(
+    signed = stored(signed_sets(shingle_sets(named, key, text, shingle)), "signatures")
+    classes = set_classes(signed)
+    # A repeated key with different texts is one node of the graph with several sets.
+    members = shared_nodes(_descend(classes, DEPTH, share, trees))
+    wanted = stored(members.select("rep").distinct(), "wanted")
+    ids = maybe_broadcast(wanted.withColumnRenamed("rep", key), wanted.count(), 16)
+    sets = stored(shingle_sets(named.join(ids, key, "left_semi"), key, text, shingle), "sets")
+    comps = linked(members, classes, sets, percent)
+
+    label = comps.select(F.col("node").alias("rep"), "component")
+    of_class = classes.select("s1", "s2", "n_shingles", "rep").join(label, "rep", "left").select(
+        "s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component")
+    )
+    placed = signed.join(of_class, ["s1", "s2", "n_shingles"], "left").select(
+        F.col("key").alias(key), "n_shingles", F.coalesce("component", "key").alias("component")
+    )
+    nameless = shingle_sets(df.where(F.col(key).isNull()), key, text, shingle).select(
+        F.col("key").alias(key), F.size("h").cast("long").alias("n_shingles"),
+        F.col("key").alias("component"),
+    )
+    return placed.union(nameless)
+
+
+def set_classes(signed: DataFrame) -> DataFrame:
+    """s1, s2, n_shingles, rep, sign of every class of equal sets that are not
+    empty; its rep is the smallest key."""
+    first = (
         signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles")
         .agg(F.min(F.struct("key", "sign")).alias("x"))
-        .select("s1", "s2", "n_shingles", F.col("x.key").alias("rep"), F.col("x.sign").alias("sign")),
+    )
+    return stored(
+        first.select(
+            "s1", "s2", "n_shingles", F.col("x.key").alias("rep"), F.col("x.sign").alias("sign")
+        ),
         "classes",
     )
-    # A repeated key with different texts is one node of the graph with several sets.
-    leaves = stored(_descend(classes, DEPTH, share, trees), "leaves")
+
+
+def shared_nodes(leaves: DataFrame) -> DataFrame:
+    """path, rep, pivot of the nodes with several classes; pivot is the first of them."""
+    leaves = stored(leaves, "leaves")
     nodes = leaves.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"))
     members = stored(
         leaves.join(nodes.where("size > 1"), "path").select("path", "rep", "pivot"), "members"
     )
     dropped(leaves)
-    signs = classes.select("rep", "sign")
-    wanted = stored(members.select("rep").distinct(), "wanted")
-    n_wanted = wanted.count()
-    ids = maybe_broadcast(wanted.withColumnRenamed("rep", key), n_wanted, 16)
-    sets = stored(shingle_sets(named.join(ids, key, "left_semi"), key, text, shingle), "sets")
+    return members
+
+
+def linked(
+    members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, places: int = PLACES
+) -> DataFrame:
+    """node, component of the classes linked with any other: similar classes
+    that share a node of ``members`` (path, rep, pivot).
 
+    ``classes`` has the signature (sign) of each rep, ``sets`` the full set h of
+    each key among the members.
+    """
+    share = percent / 100
+    least = share - SLACK * (share * (1 - share) / places) ** 0.5
+    signs = classes.select("rep", "sign")
     # Every class against the first of its nodes; the best agreement is verified.
     stars = members.where("rep <> pivot").select("rep", "pivot").distinct()
     best = (
@@ -337,27 +378,16 @@ def near_duplicates(
         links = links.union(found)
         comps = components(links)
 
-    label = comps.select(F.col("node").alias("rep"), "component")
-    of_class = classes.select("s1", "s2", "n_shingles", "rep").join(label, "rep", "left").select(
-        "s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component")
-    )
-    placed = signed.join(of_class, ["s1", "s2", "n_shingles"], "left").select(
-        F.col("key").alias(key), "n_shingles", F.coalesce("component", "key").alias("component")
-    )
-    nameless = shingle_sets(df.where(F.col(key).isNull()), key, text, shingle).select(
-        F.col("key").alias(key), F.size("h").cast("long").alias("n_shingles"),
-        F.col("key").alias("component"),
-    )
-    return placed.union(nameless)
+    return comps
 
 
 def _agreement(one: str, other: str) -> Column:
     """Share of equal places of two binary signatures, in columns only."""
-    at = F.sequence(F.lit(1), F.lit(4 * PLACES), F.lit(4))
+    at = F.sequence(F.lit(1), F.octet_length(one), F.lit(4))
     same = F.filter(
         at, lambda i: F.substring(F.col(one), i, F.lit(4)) == F.substring(F.col(other), i, F.lit(4))
     )
-    return F.size(same) / float(PLACES)
+    return 4 * F.size(same) / F.octet_length(one)
 
 
 def _small_nodes(members: DataFrame, comps: DataFrame, classes: DataFrame, share: float):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speccurve.llm import decontaminate, near_dup, pieces, quality, sharding, token_files
+from speccurve.llm import decontaminate, near_dup, paragraphs, pieces, quality, sharding, token_files
 
 SHARDS = 40
 TOKENIZERS = "/opt/tokenizers"
@@ -106,7 +106,17 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the long paragraphs that repeat an earlier one."""
+    cut = paragraphs.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "removed",
+        "first_docs", "text",
+    )
+
+
 QUERIES = {
+    "op8_paragraph_banding": op8_paragraph_banding,
     "op5_chosen_path": op5_chosen_path,
     "op2_prefix_decontamination": op2_prefix_decontamination,
     "op6_prefix_table_pieces": op6_prefix_table_pieces,
