@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speccurve.llm import decontaminate, near_dup, paragraphs, pieces, quality, sharding, token_files
+from speccurve.llm import decontaminate, html_text, near_dup, paragraphs, pieces, quality, sharding, token_files
 
 SHARDS = 40
 TOKENIZERS = "/opt/tokenizers"
@@ -115,7 +115,13 @@ def op8_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_host_suffix_array": op1_host_suffix_array,
     "op8_paragraph_banding": op8_paragraph_banding,
     "op5_chosen_path": op5_chosen_path,
     "op2_prefix_decontamination": op2_prefix_decontamination,
