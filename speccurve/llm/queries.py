@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speccurve.llm import decontaminate, html_text, near_dup, paragraphs, pieces, quality, sharding, token_files
+from speccurve.llm import (
+    decontaminate, html_text, language, near_dup, paragraphs, pieces, quality, sharding,
+    token_counts, token_files,
+)
+from speccurve.llm.common import shared_folder, stored
 
 SHARDS = 40
 TOKENIZERS = "/opt/tokenizers"
@@ -31,6 +35,13 @@ def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def byte_pair_pattern() -> str:
+    """How the public byte-pair vocabularies split a text."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as ids in Arrow files, and what the files hold."""
     files = token_files.write_token_files(
@@ -120,7 +131,62 @@ def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_delta_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches over all documents: all are inserted, exact
+    copies of an earlier one deleted, and counts revised where repeated lines
+    are taken out.  Every batch is sent twice and counts once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+
+    def counted(df: DataFrame) -> DataFrame:
+        ranks, pattern = vocabulary("byte_bpe_50k.tiktoken"), byte_pair_pattern()
+        return token_counts.count_tokens(df, "byte_bpe_50k", ranks, pattern)
+
+    old = stored(counted(docs), "counts")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    marked = docs.select(
+        "doc_id", digest.alias("digest"),
+        F.array_join(F.array_distinct(F.split("text", "\n")), "\n").alias("revised"), "text",
+        "source", "lang",
+    )
+    first = marked.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    state = marked.select("doc_id", "digest", (F.col("revised") != F.col("text")).alias("changed"))
+    state = stored(
+        state.join(first, "digest").select(
+            "doc_id", F.when(F.col("doc_id") > F.col("first"), "copy")
+            .when(F.col("changed"), "revised").alias("state")
+        ).where("state IS NOT NULL"),
+        "states",
+    )
+    copies = old.join(state.where("state = 'copy'"), "doc_id", "left_semi")
+    changed = state.where("state = 'revised'").select("doc_id")
+    revised = marked.join(changed, "doc_id", "left_semi").select(
+        "doc_id", "source", "lang", F.col("revised").alias("text")
+    )
+    totals = token_counts.TokenTotals(spark, shared_folder(spark, "totals"))
+    batches = {
+        "load": token_counts.signed(old, 1),
+        "copies": token_counts.signed(copies, -1),
+        "lines": token_counts.signed(old.join(changed, "doc_id", "left_semi"), -1).unionByName(
+            token_counts.signed(counted(revised), 1)
+        ),
+    }
+    for _ in range(2):
+        for name, changes in batches.items():
+            totals.commit(name, changes)
+        totals.compact()
+    return totals.totals()
+
+
+def op9_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents; their source stands for the host."""
+    return language.identify(
+        table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source")
+    )
+
+
 QUERIES = {
+    "op3_delta_rollups": op3_delta_rollups,
+    "op9_language_evidence": op9_language_evidence,
     "op1_host_suffix_array": op1_host_suffix_array,
     "op8_paragraph_banding": op8_paragraph_banding,
     "op5_chosen_path": op5_chosen_path,
