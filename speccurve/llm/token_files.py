@@ -64,10 +64,10 @@ class WordEncoder:
                 fresh[word] = ids
                 continue
             stem, end = word, ""
-            if word[-1] in ",." and word[:-1].isalpha():
-                stem, end = word[:-1], word[-1]
-            if max(stem) < "ɐ" and "<|" not in stem:  # special tokens keep their case
-                stem = stem.lower()
+            if max(word) < "ɐ" and "<|" not in word:  # special tokens keep their case
+                stem = word.lower()
+                if stem[-1] in ",." and stem[:-1].isalpha():
+                    stem, end = stem[:-1], stem[-1]
             if stem not in fresh:
                 new.add(stem)
             parts[word] = stem, end
