@@ -11,6 +11,8 @@ nodes are compared exhaustively, by signature first and then on the full sets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,8 +31,10 @@ NODE = 64
 # Levels after which what is still large is compared block by block.
 MORE_LEVELS = 8
 # Agreement of signatures, in standard deviations below the similarity, from
-# which the sets are compared.
+# which classes are compared further.
 SLACK = 4.9
+# Places of the longer sketch, one byte each, by which members of a node are compared.
+SKETCH = 512
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPACES = "\t\n\x0b\x0c\r"
@@ -72,12 +76,12 @@ def _seeds(n: int, salt: int) -> np.ndarray:
     return mix(steps + np.uint64(salt))
 
 
-_FACTORS = _seeds(PLACES, 1) | np.uint64(1)
-_SHIFTS = _seeds(PLACES, 2)
+_FACTORS = _seeds(SKETCH, 1) | np.uint64(1)
+_SHIFTS = _seeds(SKETCH, 2)
 
 
 def signature(h: np.ndarray, places: int = PLACES) -> np.ndarray:
-    """The least 32-bit hash of a set for each of ``places`` (PLACES at most)."""
+    """The least 32-bit hash of a set for each of ``places`` (SKETCH at most)."""
     out = np.full(places, 0xFFFFFFFF, np.uint64)
     for lo in range(0, len(h), 4096):
         part = h[lo : lo + 4096, None] * _FACTORS[:places] + _SHIFTS[:places]
@@ -168,21 +172,53 @@ def _descend(rows: DataFrame, levels: int, share: float, trees: int | None) -> D
     return rows.select(*columns).mapInArrow(run, f"path long, rep {key_type}")
 
 
-def _compare(rows: DataFrame, least: float, own_only: bool) -> DataFrame:
-    """a, b, agreement of classes in a node whose signatures agree enough and
-    that are not in one component yet.
+def _sketched(sets: DataFrame) -> DataFrame:
+    """rep, sketch: one byte of the least hash for each of SKETCH places."""
 
-    ``rows`` (path, rep, component, sign) hold nodes of bounded size.  With
-    ``own_only`` each class offers only its best partner of the node.
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+            at = at.astype(np.int64)
+            sketches = [
+                signature(flat[lo:hi], SKETCH).astype(np.uint8).tobytes()
+                for lo, hi in zip(at[:-1], at[1:])
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sketches, pa.binary())], names=["rep", "sketch"]
+            )
+
+    kind = sets.schema["key"].dataType.simpleString()
+    return sets.select("key", "h").mapInArrow(run, f"rep {kind}, sketch binary")
+
+
+def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
+    """a, b: classes in a node that are not in one component yet and may be similar.
+
+    ``rows`` (path, rep, component, sketch, pivot, distance) hold nodes of
+    bounded size.  Excluded are pairs whose sketches agree too little, and pairs
+    of one pivot whose distances to it differ by more than a link's distance
+    (Jaccard distance is a metric).  With ``own_only`` each class offers only
+    its best partner of all its nodes.
     """
     ship(rows.sparkSession)
+    least = share - SLACK * (share * (1 - share) / SKETCH) ** 0.5
+    apart = 1 - share + 1e-9
 
-    def pairs(reps, parts, signs):
-        signs = np.frombuffer(b"".join(signs), np.uint32).reshape(len(reps), -1)
+    def pairs(reps, parts, sketches, pivots, distances):
+        sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(reps), -1)
         parts = np.array(parts)
+        pivots = np.array(pivots, object)
+        distances = np.array([np.nan if d is None else d for d in distances])
         for i in range(len(reps) - 1):
-            agree = (signs[i + 1 :] == signs[i]).mean(axis=1)
-            for k in np.flatnonzero((agree >= least) & (parts[i + 1 :] != parts[i])).tolist():
+            same = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
+            agree = (same - 1 / 256) / (1 - 1 / 256)
+            far = (pivots[i + 1 :] == pivots[i]) & (
+                np.abs(distances[i + 1 :] - distances[i]) > apart
+            )
+            fits = (agree >= least) & ~far & (parts[i + 1 :] != parts[i])
+            for k in np.flatnonzero(fits).tolist():
                 yield i, i + 1 + k, float(agree[k])
 
     def run(batches):
@@ -202,12 +238,12 @@ def _compare(rows: DataFrame, least: float, own_only: bool) -> DataFrame:
         out, held, at = ([], [], []), [], None
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for path, rep, part, sign in zip(*columns, strict=True):
+            for path, *member in zip(*columns, strict=True):
                 if path != at:
                     if len(held) > 1:
                         node(held)
                     held, at = [], path
-                held.append((rep, part, sign))
+                held.append(member)
             if out[0]:
                 yield _pairs_batch(out, key_arrow)
                 out = ([], [], [])
@@ -222,7 +258,7 @@ def _compare(rows: DataFrame, least: float, own_only: bool) -> DataFrame:
     key_arrow = to_arrow_type(kind)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (
-        rows.select("path", "rep", "component", "sign")
+        rows.select("path", "rep", "component", "sketch", "pivot", "distance")
         .repartition(n, "path").sortWithinPartitions("path", "rep")
         .mapInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}, agree double")
     )
@@ -246,13 +282,26 @@ def _pairs_batch(out, kind: pa.DataType) -> pa.RecordBatch:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, distance, fits of every pair, from the full sets; fits: 100 *
+    intersection >= percent * union."""
     left = sets.select(F.col("key").alias("a"), F.col("h").alias("ha"))
     right = sets.select(F.col("key").alias("b"), F.col("h").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    fits = 100 * both >= percent * (F.size("ha") + F.size("hb") - both)
-    return pairs.join(left, "a").join(right, "b").where(fits).select("a", "b")
+    met = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("both"),
+        (F.size("ha") + F.size("hb")).cast("long").alias("sum"),
+    )
+    union = F.col("sum") - F.col("both")
+    return met.select(
+        "a", "b", (1 - F.col("both") / union).alias("distance"),
+        (100 * F.col("both") >= percent * union).alias("fits"),
+    )
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The classes of pairs, once each."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    return stored(ends, "ends")
 
 
 def _relabelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -299,10 +348,12 @@ def near_duplicates(
     classes = set_classes(signed)
     # A repeated key with different texts is one node of the graph with several sets.
     members = shared_nodes(_descend(classes, DEPTH, share, trees))
-    wanted = stored(members.select("rep").distinct(), "wanted")
-    ids = maybe_broadcast(wanted.withColumnRenamed("rep", key), wanted.count(), 16)
-    sets = stored(shingle_sets(named.join(ids, key, "left_semi"), key, text, shingle), "sets")
-    comps = linked(members, classes, sets, percent)
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        ids = maybe_broadcast(reps.withColumnRenamed("rep", key), reps.count(), 16)
+        return shingle_sets(named.join(ids, key, "left_semi"), key, text, shingle)
+
+    comps = linked(members, classes, sets_of, percent)
 
     label = comps.select(F.col("node").alias("rep"), "component")
     of_class = classes.select("s1", "s2", "n_shingles", "rep").join(label, "rep", "left").select(
@@ -345,39 +396,56 @@ def shared_nodes(leaves: DataFrame) -> DataFrame:
 
 
 def linked(
-    members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, places: int = PLACES
+    members: DataFrame,
+    classes: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    percent: int,
+    places: int = PLACES,
 ) -> DataFrame:
     """node, component of the classes linked with any other: similar classes
     that share a node of ``members`` (path, rep, pivot).
 
-    ``classes`` has the signature (sign) of each rep, ``sets`` the full set h of
-    each key among the members.
+    ``classes`` has the signature (sign) of each rep; ``sets_of`` gives the full
+    sets (key, h) of a table of reps.  Every link is confirmed on full sets.
     """
     share = percent / 100
     least = share - SLACK * (share * (1 - share) / places) ** 0.5
     signs = classes.select("rep", "sign")
-    # Every class against the first of its nodes; the best agreement is verified.
+    # Every class against the first of its nodes; the best agreement is confirmed.
     stars = members.where("rep <> pivot").select("rep", "pivot").distinct()
-    best = (
+    best = stored(
         stars.join(signs, "rep")
         .join(signs.select(F.col("rep").alias("pivot"), F.col("sign").alias("other")), "pivot")
         .select("rep", "pivot", _agreement("sign", "other").alias("agree"))
         .where(F.col("agree") >= least)
         .groupBy("rep").agg(F.max(F.struct("agree", "pivot")).alias("x"))
-        .select(F.col("x.pivot").alias("a"), F.col("rep").alias("b"))
+        .select(F.col("x.pivot").alias("a"), F.col("rep").alias("b")),
+        "stars",
     )
-    links = stored(_verified(best, sets, percent), "links")
+    sets = stored(sets_of(_ends(best)), "sets")
+    measured = stored(_measured(best, sets, percent), "measured")
+    dropped(sets)
+    links = measured.where("fits").select("a", "b")
     comps = components(links)
 
-    # Then the best partner in another component, then all of them.
-    small = _small_nodes(members.select("path", "rep"), comps, classes, share)
+    # What is left is compared within nodes of several components.
+    small = stored(_small_nodes(members.select("path", "rep"), comps, classes, share), "small")
+    reps = stored(small.select("rep").distinct(), "ends")
+    sets = stored(sets_of(reps), "sets")
+    sketches = stored(_sketched(sets), "sketches")
+    pivots = measured.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "distance")
+    # First the best partner in another component, then all of them.
     for own_only in (True, False):
-        rows = _mixed(_relabelled(small, comps)).join(signs, "rep")
-        pairs = _compare(rows, least, own_only)
-        found = stored(_verified(pairs, sets, percent), "links")
+        rows = _mixed(_relabelled(small, comps)).join(sketches, "rep").join(pivots, "rep", "left")
+        pairs = stored(_compare(rows, share, own_only), "pairs")
+        own = sets.join(
+            maybe_broadcast(_ends(pairs).withColumnRenamed("rep", "key"), reps.count(), 16),
+            "key", "left_semi",
+        )
+        found = stored(_measured(pairs, own, percent).where("fits").select("a", "b"), "links")
         links = links.union(found)
         comps = components(links)
-
+    dropped(sets)
     return comps
 
 
