@@ -76,6 +76,9 @@ class SpecCurveJob:
     samples_per_wave: int = 32
     rows_per_wave: int = 4_000_000_000
     sweep_levels: int = 1000
+    # Rounds of the alternating updates; models of a sample that is not settled
+    # then get the status ``not_converged``.
+    absorb_rounds: int = 2000
     must_slots: tuple = field(init=False)
     test_slots: tuple = field(init=False)
 
@@ -105,7 +108,8 @@ class SpecCurveJob:
         for scope, names in self._scoped().items():
             if len(set(names)) != len(names):
                 raise ValueError(f"grouping variables of scope {scope} repeat a name")
-        if self.model_count >= 2**62:
+        # Models are numbered over all outcomes, regressors and both halves.
+        if self.model_count * len(self.y) * len(self.x) * 2 >= 2**62:
             raise ValueError("the model grid does not fit a 64-bit number")
 
     def wave_size(self, rows: int) -> int:

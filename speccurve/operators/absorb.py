@@ -14,8 +14,8 @@ from speccurve.operators.scale import attach, cached, durable, sum_arrays
 
 # Relative cutoff of the pseudo-inverse of the level equations.
 RANK_CUTOFF = 1e-10
-ITERATE_TOL = 1e-10
-ITERATE_ROUNDS = 2000
+# Error left in any level effect, in units of the variables' spreads.
+ITERATE_TOL = 1e-9
 
 
 def absorb(
@@ -25,17 +25,21 @@ def absorb(
     facts: dict[int, Facts],
     coded: dict[int, int],
     sweep_levels: int,
-) -> tuple[DataFrame, dict[int, int]]:
+    rounds: int,
+) -> tuple[DataFrame, dict[int, int], set[int]]:
     """Residuals of every variable after projecting out all effects.
 
     ``coded`` gives the number of levels of every effect whose key is a running
-    number.  Returns the rows with ``v0..`` replaced by their residuals, and the number
-    of connected components of the level graph per sample (0 without effects).
+    number.  Returns the rows with ``v0..`` replaced by their residuals, the number
+    of connected components of the level graph per sample (0 without effects), and
+    the samples whose effects were not settled after ``rounds`` rounds.
     """
     values = [f"v{j}" for j in range(n_vars)]
     if n_effects == 0:
         means = _means(rows, ["sid"], values)
-        return _subtract(rows, means, ["sid"], values, len(facts)), dict.fromkeys(facts, 0)
+        return (
+            _subtract(rows, means, ["sid"], values, len(facts)), dict.fromkeys(facts, 0), set()
+        )
     sizes = [max((f.levels[k] for f in facts.values()), default=0) for k in range(n_effects)]
     main = int(np.argmax(sizes))
     n_main = sum(f.levels[main] for f in facts.values())
@@ -44,15 +48,18 @@ def absorb(
         return (
             _subtract(rows, _means(rows, keys, values), keys, values, n_main),
             dict.fromkeys(facts, 1),
+            set(),
         )
     rest = [k for k in range(n_effects) if k != main]
     n_levels = sum(coded.get(k, sweep_levels + 1) for k in rest)
     if n_levels > sweep_levels:
-        effects = _iterate(rows, n_effects, values)
+        # The graph of levels is taken from the rows before anything is joined to them.
+        components = connected_components(rows, n_effects)
+        effects, loose = _iterate(rows, n_effects, values, rounds)
         for k in range(n_effects):
             found = sum(f.levels[k] for f in facts.values())
             rows = _subtract(rows, effects[k], ["sid", f"f{k}"], values, found)
-        return rows, connected_components(rows, n_effects)
+        return rows, components, loose
     # The levels of the minor effects are stacked: one number for each.
     offset = 0
     for k in rest:
@@ -72,7 +79,7 @@ def absorb(
         rows = rows.join(F.broadcast(named), ["sid", f"i{k}"]).withColumns(
             {v: F.col(v) - F.col("_e")[j] for j, v in enumerate(values)}
         ).drop("_e")
-    return _subtract(rows, _means(rows, keys, values), keys, values, n_main), components
+    return _subtract(rows, _means(rows, keys, values), keys, values, n_main), components, set()
 
 
 def _means(rows: DataFrame, keys, values) -> DataFrame:
@@ -208,11 +215,17 @@ def _count_linked(adjacent: np.ndarray) -> int:
     return count
 
 
-def _iterate(rows: DataFrame, n_effects: int, values) -> dict[int, DataFrame]:
-    """Effects by alternating over the dimensions, for many minor levels.
+def _iterate(
+    rows: DataFrame, n_effects: int, values, rounds: int
+) -> tuple[dict[int, DataFrame], set[int]]:
+    """Effects by alternating over the dimensions, for many minor levels, and
+    the samples that are not settled after ``rounds`` rounds.
 
     Works on cells (all effect levels, row count, value sums); only the effect
-    tables change from round to round and each is written once per round.
+    tables change from round to round and each is written once per round.  The
+    change of a level is the mean of what is left in it.  Changes shrink by a
+    factor q from round to round, so the error left is about the last change
+    divided by 1 - q; that has to fall below ITERATE_TOL.
     """
     effects_keys = [f"f{k}" for k in range(n_effects)]
     cells = cached(
@@ -221,8 +234,10 @@ def _iterate(rows: DataFrame, n_effects: int, values) -> dict[int, DataFrame]:
         )
     )
     effects: dict[int, DataFrame] = {}
-    for _ in range(ITERATE_ROUNDS):
-        largest = 0.0
+    last: dict[int, float] = {}
+    loose: set[int] = set()
+    for _ in range(rounds):
+        now: dict[int, float] = {}
         for k in range(n_effects):
             left = cells
             n_key = ["sid", f"f{k}"]
@@ -240,15 +255,30 @@ def _iterate(rows: DataFrame, n_effects: int, values) -> dict[int, DataFrame]:
             )
             if k in effects:
                 old = effects[k].select(*n_key, *[F.col(f"_m{v}").alias(f"_b{v}") for v in values])
-                change = fresh.join(old, n_key).agg(
-                    F.max(F.greatest(*[F.abs(F.col(f"_m{v}") - F.col(f"_b{v}")) for v in values],
-                                     F.lit(0.0)))
-                ).first()[0]
+                moved = F.max(
+                    F.greatest(*[F.abs(F.col(f"_m{v}") - F.col(f"_b{v}")) for v in values],
+                               F.lit(0.0))
+                )
+                # One number for each sample of the wave.
+                for sid, change in fresh.join(old, n_key).groupBy("sid").agg(moved).collect():
+                    now[sid] = max(now.get(sid, 0.0), change)
             else:
-                change = np.inf
-            largest = max(largest, change or 0.0)
+                now.update(
+                    {r[0]: np.inf for r in fresh.select("sid").distinct().collect()}
+                )
             effects[k] = fresh
-        if largest < ITERATE_TOL:
+        loose = {sid for sid, change in now.items() if _left(change, last.get(sid)) > ITERATE_TOL}
+        last = now
+        if not loose:
             break
     cells.unpersist()
-    return effects
+    return effects, loose
+
+
+def _left(change: float, before: float | None) -> float:
+    """The error left after a change that follows another one."""
+    if change <= 1e-14:  # rounding
+        return 0.0
+    if before is None or not before > change:
+        return np.inf
+    return change / (1 - change / before)

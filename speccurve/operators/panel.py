@@ -27,16 +27,6 @@ def number(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("double")
 
 
-def interaction_key(columns: list[Column]) -> Column:
-    """Key of an interacted effect: a struct, null when any part is null."""
-    if len(columns) == 1:
-        return columns[0]
-    whole = columns[0].isNotNull()
-    for column in columns[1:]:
-        whole = whole & column.isNotNull()
-    return F.when(whole, F.struct(*columns))
-
-
 @dataclass
 class Panel:
     """The prepared panel.

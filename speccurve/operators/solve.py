@@ -11,14 +11,17 @@ from speccurve.functions.tdist import quantile, two_sided_p
 from speccurve.operators.moments import triangle
 
 # A residual column whose norm is below this share of the original spread is
-# explained by the effects; a Cholesky pivot below PIVOT_TOL by earlier columns.
+# explained by the effects; a Cholesky pivot (a squared norm) below PIVOT_TOL by
+# earlier columns: less than a millionth of the column is its own.  Sums of
+# products over many rows do not resolve much less than that.
 NORM_TOL = 1e-9
-PIVOT_TOL = 1e-10
+PIVOT_TOL = 1e-12
 
 SOLVED_SCHEMA = (
     "mid long, sid long, yi int, fi int, must array<int>, test array<int>, "
     "is_full boolean, kept array<int>, beta array<double>, sse double, tss double"
 )
+# Names and order of the result columns.
 RESULT_FIELDS = {
     "y": "string",
     "x": "string",
@@ -32,7 +35,7 @@ RESULT_FIELDS = {
     "adj_r2": "double",
     "within_r2": "double",
     "f_stat": "double",
-    "df_resid": "int",
+    "df_resid": "bigint",
     "ci99_lo": "double",
     "ci99_hi": "double",
     "ci95_lo": "double",
@@ -105,6 +108,7 @@ class DesignFacts:
     absorbed: int
     counted: int
     groups: tuple[int, ...]
+    settled: bool = True
 
 
 @dataclass
@@ -161,6 +165,8 @@ class Finisher:
         n = fact.n if fact else 0
         if n <= 1:
             return {"obs": n, "status": "too_few_rows"}
+        if not fact.settled:
+            return {"obs": n, "status": "not_converged"}
         if not kept:
             return {"obs": n, "status": "x_collinear"}
         q = len(kept)
@@ -268,5 +274,5 @@ class Finisher:
                     )
         for name in ("coef", "se", "t_value", "p_value", "adj_r2", "within_r2", "f_stat"):
             out[name] = out[name].astype(float)
-        out["df_resid"] = out["df_resid"].astype("Int32")
+        out["df_resid"] = out["df_resid"].astype("Int64")
         return out[columns + (["group_value"] if self.halves == 2 else [])]

@@ -273,8 +273,9 @@ class Setup:
 def _estimate(panel, job, focus, setup, designs, models, rows, facts, halved) -> DataFrame:
     spark = panel.rows.sparkSession
     n_vars = len(panel.variables)
-    residuals, components = absorb(
-        rows, setup.n_effects, n_vars, facts, setup.level_counts, job.sweep_levels
+    residuals, components, loose = absorb(
+        rows, setup.n_effects, n_vars, facts, setup.level_counts, job.sweep_levels,
+        job.absorb_rounds,
     )
     keep = ["sid"] + [f"c{j}" for j in setup.cluster_ids] + [f"v{j}" for j in range(n_vars)]
     residuals = cached(residuals.select(*keep))
@@ -291,7 +292,10 @@ def _estimate(panel, job, focus, setup, designs, models, rows, facts, halved) ->
         inference=job.inference,
         designs=names,
         facts={
-            sid: [_design_facts(d, setup, fact, components.get(sid, 0)) for d in designs]
+            sid: [
+                _design_facts(d, setup, fact, components.get(sid, 0), sid not in loose)
+                for d in designs
+            ]
             for sid, fact in facts.items()
         },
         grams=grams,
@@ -339,7 +343,9 @@ def _kinds(setup: Setup, designs):
     return kinds, names
 
 
-def _design_facts(design, setup: Setup, fact: Facts, components: int) -> DesignFacts:
+def _design_facts(
+    design, setup: Setup, fact: Facts, components: int, settled: bool
+) -> DesignFacts:
     ids = setup.ids(design)
     # Without effects the intercept is the one absorbed level.
     absorbed = sum(fact.levels.values()) - components if setup.fe else 1
@@ -351,7 +357,7 @@ def _design_facts(design, setup: Setup, fact: Facts, components: int) -> DesignF
     groups = [fact.clusters[(j,)] for j in ids]
     if len(ids) == 2:
         groups.append(fact.clusters[tuple(sorted(ids))])
-    return DesignFacts(fact.n, absorbed, counted, tuple(groups))
+    return DesignFacts(fact.n, absorbed, counted, tuple(groups), settled)
 
 
 def _finish(solved, residuals, kinds, finisher: Finisher, n_vars: int) -> DataFrame:

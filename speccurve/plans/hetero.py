@@ -77,7 +77,7 @@ def subgroup_curves(panel: DataFrame, job: SpecCurveJob) -> DataFrame:
 
 def interaction_curves(panel: DataFrame, job: SpecCurveJob) -> DataFrame:
     """The job with x * z as the regressor of interest, z each grouping
-    variable; x stays in the model, z alone does not."""
+    variable; x stays in the model, z alone does not.  ``plain_x`` names x."""
     job.validate(panel)
     parts = []
     for scope, variable in job.groupings:
@@ -87,6 +87,8 @@ def interaction_curves(panel: DataFrame, job: SpecCurveJob) -> DataFrame:
             focus[x] = Focus(name, f"c.{x}#c.{variable}", (x,))
             products.append((name, x, variable))
         curves = run(panel, job, focus, products=products)
+        plain = F.create_map(*[F.lit(v) for x, f in focus.items() for v in (f.label, x)])
+        curves = curves.withColumn("plain_x", F.element_at(plain, F.col("x")))
         parts.append(
             curves.withColumn("grouping_variable", F.lit(grouping_label(variable, scope)))
         )

@@ -489,13 +489,24 @@ def model_detail(results: DataFrame, job: SpecCurveJob) -> DataFrame:
 
 
 def match_by_controls(curve: DataFrame, other: DataFrame, name: str) -> DataFrame:
-    """Put another curve's estimate beside each model with the same controls
-    (the interaction panel below a curve)."""
+    """Put another curve's estimate beside each model with the same outcome,
+    regressor, design and controls (the interaction panel below a curve).
+
+    The regressor of ``other`` is its ``plain_x`` where it has that column, as
+    interaction curves do.  If it has a ``grouping_variable``, estimates are
+    matched within each: a curve that has none gets a row for each of them.
+    """
+    by = ["y", "x", "spec_tag", "controls_key"]
+    if "plain_x" in other.columns:
+        other = other.withColumn("x", F.col("plain_x"))
+    if "grouping_variable" in other.columns:
+        by.append("grouping_variable")
+        if "grouping_variable" not in curve.columns:
+            found = other.select("y", "x", "spec_tag", "grouping_variable").distinct()
+            curve = curve.join(found, ["y", "x", "spec_tag"], "left")
     side = (
-        estimated(other)
-        .groupBy("y", "spec_tag", F.sort_array("controls_all").alias("controls_key"))
+        estimated(other.withColumn("controls_key", F.sort_array("controls_all")))
+        .groupBy(*by)
         .agg(F.max_by(F.struct("coef", "p_value", "ci95_lo", "ci95_hi", "obs"), "bits").alias(name))
     )
-    return curve.withColumn("controls_key", F.sort_array("controls_all")).join(
-        side, ["y", "spec_tag", "controls_key"], "left"
-    )
+    return curve.withColumn("controls_key", F.sort_array("controls_all")).join(side, by, "left")

@@ -120,7 +120,7 @@ def curve_metadata(spark: SparkSession, job: SpecCurveJob) -> DataFrame:
     """One row per curve: what a reader needs to draw it again."""
     rows = [
         (y, x, d.name, d.tag, job.test_names, job.must_names, job.matrix_names, job.order,
-         job.order == "p")
+         job.order == "signed_p")
         for y in job.y
         for x in job.x
         for d in job.active_designs

@@ -1,6 +1,7 @@
 """Hand-made panels with known traps."""
 
 import pandas as pd
+import pytest
 from dense import fit
 
 from speccurve import SpecCurveJob, interaction_curves, manual_design, spec_curve, subgroup_curves
@@ -116,3 +117,20 @@ def test_subgroups_and_interaction(spark):
     want = fit(pdf, "y", ["xz", "x"], design.fe, design.clusters)
     assert row["x"] == "c.x#c.z" and row["controls_all"] == [] and row["control_stats"] == []
     assert abs(row["coef"] - want["coef"]) < 1e-9 and abs(row["se"] - want["se"]) < 1e-9
+
+@pytest.mark.parametrize("rounds, status", [(2000, "ok"), (3, "not_converged")])
+def test_slow_absorption_is_exact_or_says_so(spark, rounds, status):
+    """A chain of firms and periods, each linked with its neighbours only."""
+    rows = [(f"f{i:02d}", "i", t, float((i * 7 + t * 3) % 11), float((i * i + 5 * t) % 13), 0.0)
+            for i in range(3) for t in (i, i + 1, i + 1)]
+    frame = spark.createDataFrame(rows, COLUMNS)
+    pdf = pd.DataFrame(rows, columns=["firm", "ind", "tm", "y", "x", "z"])
+    design = manual_design(["firm", "tm"], [])
+    settings = job(design, sweep_levels=1, absorb_rounds=rounds, drop_singletons=False)
+    row = spec_curve(frame, settings).first()
+    assert row["status"] == status
+    if status == "ok":
+        want = fit(pdf, "y", ["x"], design.fe, design.clusters)
+        assert abs(row["coef"] - want["coef"]) < 1e-7
+    else:
+        assert row["coef"] is None

@@ -11,7 +11,7 @@ from speccurve.functions.labels import controls_text
 from speccurve.operators.components import component_counts
 from speccurve.plans.hetero import median_split
 from speccurve.plans.inspect import effect_report, null_patterns, sample_report
-from speccurve.plans.report import skipped_models
+from speccurve.plans.report import match_by_controls, significance_table, skipped_models
 from workload.panels import (
     DOCS_SQL,
     EVENTS_SQL,
@@ -230,15 +230,30 @@ def robust_curve_other_outcome(spark, sf_dir):
     return basic(spec_curve(panel(spark, sf_dir), settings))
 
 
+# A control without any spread inside the levels of an effect is explained by it.
+_WITHIN = (
+    "(SELECT max(d) FROM (SELECT max({c}) - min({c}) AS d FROM p WHERE y IS NOT NULL AND "
+    "x IS NOT NULL AND c_tax IS NOT NULL AND c_cbal IS NOT NULL GROUP BY {by}))"
+)
+
+
+def _kept_sql(tag: str, bits: int, by: str) -> str:
+    tax, cbal = (f"{_WITHIN.format(c=c, by=by)} > 0" for c in ("c_tax", "c_cbal"))
+    extra = f"CASE WHEN {cbal} THEN 'c_cbal' END" if bits else "NULL"
+    return (
+        f"SELECT '{tag}' AS spec_tag, CAST({bits} AS BIGINT) AS bits, "
+        f"concat_ws(',', CASE WHEN {tax} THEN 'c_tax' END, {extra}) AS kept, "
+        f"concat_ws(',', {extra}) AS kept_test"
+    )
+
+
 @query(
     "collinear_drop",
-    WITH_PANEL
-    + "SELECT spec_tag, bits, kept, kept_test FROM (VALUES "
-    "('firm_cl_firm', CAST(0 AS BIGINT), 'c_tax', ''), "
-    "('firm_cl_firm', CAST(1 AS BIGINT), 'c_tax', ''), "
-    "('no_absorb_robust', CAST(0 AS BIGINT), 'c_tax', ''), "
-    "('no_absorb_robust', CAST(1 AS BIGINT), 'c_tax,c_cbal', 'c_cbal')) "
-    "t(spec_tag, bits, kept, kept_test) WHERE EXISTS (SELECT 1 FROM p)",
+    WITH_PANEL + union(
+        _kept_sql(tag, bits, by)
+        for tag, by in (("firm_cl_firm", "firm"), ("no_absorb_robust", "true"))
+        for bits in (0, 1)
+    ),
 )
 def collinear_drop(spark, sf_dir):
     settings = job(["no_absorb_robust"], extra=[FIRM_ONLY], must=("c_tax",), test=("c_cbal",))
@@ -255,7 +270,7 @@ def collinear_drop(spark, sf_dir):
     "skipped_models",
     WITH_PANEL
     + "SELECT 'y' AS y, 'c_cbal' AS x, 'firm_cl_firm' AS spec_tag, 'x_collinear' AS status, "
-    "CAST(2 AS BIGINT) AS models WHERE (SELECT count(*) FROM p) > 1",
+    f"CAST(2 AS BIGINT) AS models WHERE {_WITHIN.format(c='c_cbal', by='firm')} = 0",
 )
 def skipped(spark, sf_dir):
     settings = job(extra=[FIRM_ONLY], x=("c_cbal",), test=("c_tax",))
@@ -269,7 +284,7 @@ def skipped(spark, sf_dir):
         select="round((1 - sse / tss) * 1000000, 4) AS within_r2_ppm, "
         "round(1 - sse / tss * (n - 1) / (n - 1 - (l0 + l1 - 1)), 8) AS adj_r2, "
         "round(coef * coef / se / se, 6) AS f_stat, "
-        "CAST(n - 1 - (l0 + l1 - 1) AS INTEGER) AS df_resid",
+        "CAST(n - 1 - (l0 + l1 - 1) AS BIGINT) AS df_resid",
     ),
 )
 def fit_statistics(spark, sf_dir):
@@ -282,17 +297,20 @@ def fit_statistics(spark, sf_dir):
 
 @query(
     "full_inference",
-    WITH_PANEL + regression(
-        "p", "y", "x", controls=["c_size"], fe=["firm", "tm"], clusters=["firm"],
-        k="2 + l0 + l1 - 1", rounds=8, nonnull=["c_sbal"],
-        select=basic_sql("ab_firm_time_cl_firm") + ", round((tss - sse) / 2 / "
-        "(sse / (n - 2 - (l0 + l1 - 1))), 6) AS f_stat",
+    WITH_PANEL + union(
+        regression(
+            "p", "y", "x", controls=[own], fe=["firm", "tm"], clusters=["firm"],
+            k="2 + l0 + l1 - 1", rounds=8, nonnull=[other],
+            select=basic_sql("ab_firm_time_cl_firm", bits) + ", round((tss - sse) / 2 / "
+            "(sse / (n - 2 - (l0 + l1 - 1))), 6) AS f_stat",
+        )
+        for bits, own, other in ((0, "c_size", "c_sbal"), (1, "c_sbal", "c_size"))
     ),
 )
 def full_inference(spark, sf_dir):
     """Full mode: every mandatory column must be present, nesting is ignored."""
     settings = job(["ab_firm_time_cl_firm"], must=(["c_size", "c_sbal"],), inference="full")
-    results = spec_curve(panel(spark, sf_dir), settings).where("bits = 0")
+    results = spec_curve(panel(spark, sf_dir), settings)
     return results.select("spec_tag", "bits", *six("coef", "se", "t_value", "f_stat"), "obs")
 
 
@@ -547,6 +565,105 @@ def interaction(spark, sf_dir):
     )
 
 
+def _matched_sql(x: str, z: str, scope: str, bits: int, extra: list[str]) -> str:
+    """The interaction beside the plain model with the same controls."""
+    return regression(
+        "p", "y", f"{x} * {z}", controls=[x, *extra], k=f"{3 + len(extra)}",
+        select=f"'{x}' AS x, '{z}[{scope}]' AS grouping_variable, CAST({bits} AS BIGINT) AS bits, "
+        "round(coef, 6) AS other_coef, n AS other_obs",
+    )
+
+
+@query(
+    "interaction_match",
+    WITH_PANEL + union(
+        _matched_sql(x, z, scope, bits, extra)
+        for x in ("x", "x2")
+        for z, scope in (("z", "by_time"), ("c_sbal", "by_none"))
+        for bits, extra in ((0, []), (1, ["c_tax"]))
+    ),
+)
+def interaction_match(spark, sf_dir):
+    """Two regressors and two grouping variables: every plain model meets the
+    interaction of its own regressor, once for each variable."""
+    settings = job(["no_absorb_robust"], x=("x", "x2"), test=("c_tax",),
+                   group_by_time=("z",), group_by_none=("c_sbal",))
+    frame = panel(spark, sf_dir)
+    joined = match_by_controls(
+        spec_curve(frame, settings), interaction_curves(frame, settings), "other"
+    )
+    return joined.select(
+        "x", "grouping_variable", "bits", F.round("other.coef", 6).alias("other_coef"),
+        F.col("other.obs").alias("other_obs"),
+    )
+
+
+# Two-sided normal quantiles: robust errors have all residual degrees of freedom.
+_STARS = (
+    "CASE WHEN abs(coef / se) > 2.5758 THEN 3 WHEN abs(coef / se) > 1.9600 THEN 2 "
+    "WHEN abs(coef / se) > 1.6449 THEN 1 ELSE 0 END * CASE WHEN coef < 0 THEN -1 ELSE 1 END"
+)
+
+
+# Outcomes of the run: one that depends on the second regressor, and one of the panel.
+_OUTCOMES = {"y3": "y + 40000 * x2", "y2": "y2"}
+
+
+def _table_sql(tag: str, y: str, x: str, extra: list[str]) -> str:
+    fe, _, k, rounds = _DESIGNS[tag]
+    effects = [_FE[e] for e in fe.split()]
+    return regression(
+        "p", _OUTCOMES[y], x, controls=["c_tax", *extra], fe=effects, k=k.format(q=2 + len(extra)),
+        rounds=rounds,
+        select=f"{_STARS} AS \"Star\", round(coef, 5) AS coef, round(coef / se, 5) AS t_value, "
+        f"n AS obs, '{y}' AS \"Y\", '{x}' AS \"X\", '{', '.join(['c_tax', *extra])}' AS "
+        f"\"Controls\", '{', '.join(effects)}' AS \"FE\", 'robust' AS cluster, "
+        "CAST(16 AS BIGINT) AS \"Specs\"",
+    )
+
+
+@query(
+    "run_to_significance_table",
+    WITH_PANEL + "SELECT * FROM (" + union(
+        _table_sql(tag, y, x, extra)
+        for tag in ("no_absorb_robust", "ab_ind_time_robust")
+        for y in _OUTCOMES
+        for x in ("x", "x2")
+        for extra in ([], ["c_retail"])
+    ) + ") WHERE \"Star\" <> 0",
+)
+def run_to_table(spark, sf_dir):
+    """A whole run: two outcomes, two regressors, two designs, to the table of
+    significant models."""
+    settings = job(["no_absorb_robust", "ab_ind_time_robust"], y=tuple(_OUTCOMES),
+                   x=("x", "x2"), must=("c_tax",), test=("c_retail",))
+    frame = panel(spark, sf_dir).withColumn("y3", F.expr(_OUTCOMES["y3"]))
+    table = significance_table(spec_curve(frame, settings), settings)
+    return table.select(
+        "Star", F.round("coef", 5).alias("coef"), F.round("t_value", 5).alias("t_value"), "obs",
+        "Y", "X", "Controls", "FE", "cluster", "Specs",
+    )
+
+
+_NEAR = "c_tax + c_cbal * 3e-11"
+
+
+@query(
+    "nearly_collinear_control",
+    WITH_PANEL + regression(
+        "p", "y", "x", controls=["c_tax", _NEAR], k="4",
+        select="'c_tax,near' AS kept, round(coef, 3) AS coef, n AS obs",
+    ),
+)
+def nearly_collinear(spark, sf_dir):
+    """A control of which some millionths are its own stays in the model."""
+    frame = panel(spark, sf_dir).withColumn("near", F.expr(_NEAR))
+    found = spec_curve(frame, job(["no_absorb_robust"], must=("c_tax", "near")))
+    order = F.array(F.lit("c_tax"), F.lit("near"))
+    kept = F.filter(order, lambda n: F.array_contains("controls_all", n))
+    return found.select(F.array_join(kept, ",").alias("kept"), F.round("coef", 3).alias("coef"), "obs")
+
+
 # -- other panels ------------------------------------------------------------
 
 

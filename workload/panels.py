@@ -95,7 +95,7 @@ def order_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         "y", "x", "spec_tag", F.col("spec_tag").alias("spec_name"), "bits",
         "coef", "se", "t_value", "p_value",
         *[F.lit(None).cast("double").alias(n) for n in ("adj_r2", "within_r2", "f_stat")],
-        F.lit(100).alias("df_resid"),
+        F.lit(100).cast("long").alias("df_resid"),
         (F.col("coef") - width).alias("ci99_lo"), (F.col("coef") + width).alias("ci99_hi"),
         (F.col("coef") - 2 * F.col("se")).alias("ci95_lo"),
         (F.col("coef") + 2 * F.col("se")).alias("ci95_hi"),

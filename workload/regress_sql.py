@@ -8,10 +8,6 @@ is left of it and of the outcome.
 from __future__ import annotations
 
 
-def _residual(columns, last, keys):
-    return ", ".join(columns(c) for c in last), ", ".join(keys)
-
-
 def regression(
     source: str,
     y: str,

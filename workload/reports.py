@@ -84,26 +84,21 @@ def significance_table(spark, sf_dir):
 
 def _halves(models):
     """Both halves of two grouping variables, made from the models."""
+    names = F.explode(F.array(F.lit("z[by_time]"), F.lit("w[by_none]")))
     half = F.explode(F.array(F.lit(0), F.lit(1)))
-    shifted = models.select("*", half.alias("group_value")).where(
-        "(bits + group_value) % 4 <> 0"
-    )
-    label = F.when(F.col("bits") % 2 == 0, "z[by_time]").otherwise("w[by_none]")
-    return shifted.withColumns(
-        {
-            "grouping_variable": label,
-            "p_value": F.when(F.col("group_value") == 0, F.col("p_value") / 2).otherwise(
-                F.col("p_value") * 2
-            ),
-        }
+    halves = models.select("*", names.alias("grouping_variable")).select(
+        "*", half.alias("group_value")
     )
+    stronger = (F.col("group_value") == 0) == (F.col("grouping_variable") == "z[by_time]")
+    p = F.when(stronger, F.col("p_value") / 2).otherwise(F.col("p_value") * 2)
+    return halves.withColumn("p_value", p)
 
 
 _HALF_STARS = SIGNED.replace("p_value", "hp")
 _GROUPED = (
-    f"h AS (SELECT *, {_HALF_STARS} AS star FROM (SELECT *, CASE WHEN half = 0 THEN p_value / 2 "
-    "ELSE p_value * 2 END AS hp, CASE WHEN bits % 2 = 0 THEN 'z[by_time]' ELSE 'w[by_none]' END "
-    "AS gv FROM r, (VALUES (0), (1)) t(half)) WHERE (bits + half) % 4 <> 0), "
+    f"h AS (SELECT *, {_HALF_STARS} AS star FROM (SELECT *, CASE WHEN (half = 0) = (gv = 'z[by_time]') "
+    "THEN p_value / 2 ELSE p_value * 2 END AS hp FROM r, (VALUES (0), (1)) t(half), "
+    "(VALUES ('z[by_time]'), ('w[by_none]')) u(gv))), "
     f"k AS (SELECT {CURVE}, gv, {CONTROLS} AS controls, "
     "max_by(star, bits) FILTER (WHERE half = 0) AS star0, "
     "max_by(star, bits) FILTER (WHERE half = 1) AS star1 "
@@ -192,15 +187,15 @@ def closest_to_zero(spark, sf_dir):
     "best_model",
     PLACED + f"SELECT {CURVE}, bits, pos, tests AS test_count, p_value FROM (SELECT *, {TESTS} AS "
     f"tests, row_number() OVER (PARTITION BY {CURVE} ORDER BY {TESTS} DESC, p_value, pos) AS n, "
-    f"bool_or({FULL}) OVER (PARTITION BY {CURVE}) AS f FROM r WHERE p_value < 0.01 AND NOT "
-    "(in_a AND in_b AND in_c)) WHERE n = 1 AND NOT f",
+    f"bool_or({FULL} AND spec_tag <> 'no_absorb_robust') OVER (PARTITION BY {CURVE}) AS f FROM r "
+    "WHERE p_value < 0.01) WHERE n = 1 AND NOT f",
 )
 def best_model(spark, sf_dir):
-    """Among models without the full set a, b, c, as a filter would leave them."""
-    placed = report.curve_table(order_models(spark, sf_dir))
-    every = F.array(*map(F.lit, "abc"))
-    shown = placed.where(F.size(F.array_intersect("controls_all", every)) < 3)
-    return report.best_model(shown, JOB)
+    """A run in which no model of one design is full."""
+    models = order_models(spark, sf_dir).withColumn(
+        "is_full", F.col("is_full") & (F.col("spec_tag") != "no_absorb_robust")
+    )
+    return report.best_model(report.curve_table(models), JOB)
 
 
 @query(
@@ -227,25 +222,31 @@ def guide_positions(spark, sf_dir):
     WITH + f"SELECT {CURVE}, control, total AS models FROM ("
     + " UNION ALL ".join(
         f"SELECT {CURVE}, '{n}' AS control, count(*) AS total, "
-        f"count(*) FILTER (WHERE in_{n}) AS used FROM r WHERE p_value < 0.01 AND in_b "
-        f"GROUP BY {CURVE}"
+        f"count(*) FILTER (WHERE {'true' if n == 'b' else f'in_{n}'}) AS used FROM r "
+        f"WHERE p_value < 0.01 GROUP BY {CURVE}"
         for n in "abcd"
     )
     + ") WHERE used = total",
 )
 def always_in_top(spark, sf_dir):
-    models = order_models(spark, sf_dir).where(F.array_contains("controls_all", "b"))
+    """A run in which every model has the control b."""
+    models = order_models(spark, sf_dir).withColumn(
+        "controls_all", F.array_union("controls_all", F.array(F.lit("b")))
+    )
     return report.always_in_top(models, JOB)
 
 
 @query(
     "common_controls",
-    WITH + f"SELECT {CURVE}, concat_ws(',', 'm', CASE WHEN bool_and(in_a) THEN 'a' END, CASE WHEN "
+    WITH + f"SELECT {CURVE}, concat_ws(',', 'm', 'a', CASE WHEN "
     "bool_and(in_b) THEN 'b' END, CASE WHEN bool_and(in_c) THEN 'c' END, CASE WHEN "
-    f"bool_and(in_d) THEN 'd' END) AS controls FROM r WHERE in_a GROUP BY {CURVE}",
+    f"bool_and(in_d) THEN 'd' END) AS controls FROM r GROUP BY {CURVE}",
 )
 def common_controls(spark, sf_dir):
-    models = order_models(spark, sf_dir).where(F.array_contains("controls_all", "a"))
+    """A run in which every model has the control a."""
+    models = order_models(spark, sf_dir).withColumn(
+        "controls_all", F.array_union("controls_all", F.array(F.lit("a")))
+    )
     found = report.common_controls(models, list("mabcd"))
     return found.withColumn("controls", F.array_join("controls", ","))
 
@@ -389,28 +390,15 @@ def curve_choices(spark, sf_dir):
 @query(
     "choose_curve",
     WITH + "SELECT y, x, spec_tag, models FROM (SELECT y, x, spec_tag, count(*) AS models, "
-    "row_number() OVER (PARTITION BY y ORDER BY CASE WHEN x = 'x1' THEN 0 ELSE 1 END, "
+    "row_number() OVER (PARTITION BY y ORDER BY CASE WHEN x = 'x0' THEN 0 ELSE 1 END, "
     "CASE WHEN spec_tag = 'ab_firm_time_cl_firm' THEN 1 ELSE 2 END) AS n FROM r "
-    "WHERE y = 'y1' AND x <> 'x0' GROUP BY y, x, spec_tag) WHERE n = 1",
+    "WHERE y = 'y1' GROUP BY y, x, spec_tag) WHERE n = 1",
 )
 def choose_curve(spark, sf_dir):
-    models = order_models(spark, sf_dir).where("x <> 'x0'")
-    return report.choose_curve(models, JOB, "y1", x="x0", spec_tag="absent")
-
-
-@query(
-    "interaction_match",
-    WITH.rstrip() + ", k AS (SELECT y, spec_tag, " + CONTROLS + " AS controls, "
-    "max_by(coef, bits) AS coef, max_by(p_value, bits) AS p_value FROM r WHERE bits % 3 = 1 "
-    "GROUP BY y, spec_tag, controls) SELECT r.y, r.x, r.spec_tag, bits, k.coef AS other_coef, "
-    f"k.p_value AS other_p FROM r LEFT JOIN k ON k.y = r.y AND k.spec_tag = r.spec_tag AND "
-    f"k.controls = {CONTROLS}",
-)
-def interaction_match(spark, sf_dir):
-    models = order_models(spark, sf_dir)
-    joined = report.match_by_controls(models, models.where("bits % 3 = 1"), "other")
-    return joined.select("y", "x", "spec_tag", "bits", F.col("other.coef").alias("other_coef"),
-                         F.col("other.p_value").alias("other_p"))
+    """Neither the regressor nor the design asked for is there."""
+    return report.choose_curve(
+        order_models(spark, sf_dir), JOB, "y1", x="absent", spec_tag="absent"
+    )
 
 
 @query(
