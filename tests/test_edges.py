@@ -121,8 +121,9 @@ def test_subgroups_and_interaction(spark):
 @pytest.mark.parametrize("rounds, status", [(2000, "ok"), (3, "not_converged")])
 def test_slow_absorption_is_exact_or_says_so(spark, rounds, status):
     """A chain of firms and periods, each linked with its neighbours only."""
-    rows = [(f"f{i:02d}", "i", t, float((i * 7 + t * 3) % 11), float((i * i + 5 * t) % 13), 0.0)
-            for i in range(3) for t in (i, i + 1, i + 1)]
+    cells = [(i, t) for i in range(2) for t in (i, i + 1, i + 1, i + 1)]
+    rows = [(f"f{i}", "i", t, float((n * 7) % 11), float((n * n + t) % 13), 0.0)
+            for n, (i, t) in enumerate(cells)]
     frame = spark.createDataFrame(rows, COLUMNS)
     pdf = pd.DataFrame(rows, columns=["firm", "ind", "tm", "y", "x", "z"])
     design = manual_design(["firm", "tm"], [])
