@@ -22,10 +22,11 @@ def components(links: DataFrame) -> DataFrame:
     nodes = None
     edges = stored(_both(links), "links")
     while True:
-        up = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("up"))
-        up = stored(up, "up")
-        ahead = up.select(F.col("a").alias("up"), F.col("up").alias("far"))
-        up = stored(up.join(ahead, "up").select("a", F.col("far").alias("up")), "up")
+        near = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("up"))
+        near = stored(near, "up")
+        ahead = near.select(F.col("a").alias("up"), F.col("up").alias("far"))
+        up = stored(near.join(ahead, "up").select("a", F.col("far").alias("up")), "up")
+        dropped(near)
         if nodes is None:
             nodes = up.select(F.col("a").alias("node"), F.col("up").alias("component"))
         else:
@@ -49,6 +50,26 @@ def components(links: DataFrame) -> DataFrame:
             return nodes
 
 
+def extended(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind ``known`` and of further ``links``
+    (a, b), from the old components and the new links alone."""
+    if links.isEmpty():
+        return known
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    fresh = ends.join(known, "node", "left_anti").withColumn("component", F.col("node"))
+    nodes = stored(known.unionByName(fresh), "nodes")
+    one = nodes.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    two = nodes.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    met = links.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = components(met).select(F.col("node").alias("component"), F.col("component").alias("up"))
+    return stored(
+        nodes.join(merged, "component", "left").select(
+            "node", F.coalesce("up", "component").alias("component")
+        ),
+        "nodes",
+    )
+
+
 def _both(links: DataFrame) -> DataFrame:
     back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     return links.select("a", "b").union(back).distinct()

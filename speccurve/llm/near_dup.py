@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from speccurve.deploy import ship
 from speccurve.llm.common import dropped, maybe_broadcast, stored
-from speccurve.llm.links import components
+from speccurve.llm.links import components, extended
 
 PLACES = 96
 TREES = 12
@@ -33,8 +33,10 @@ MORE_LEVELS = 8
 # Agreement of signatures, in standard deviations below the similarity, from
 # which classes are compared further.
 SLACK = 4.9
-# Places of the longer sketch, one byte each, by which members of a node are compared.
-SKETCH = 512
+# Places of the longer sketch, one byte each, by which members of a node are
+# compared, and how many of them choose a class's best partner.
+SKETCH = 1024
+FIRST = 128
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPACES = "\t\n\x0b\x0c\r"
@@ -196,17 +198,19 @@ def _sketched(sets: DataFrame) -> DataFrame:
 def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
     """a, b: classes in a node that are not in one component yet and may be similar.
 
-    ``rows`` (path, rep, component, sketch, pivot, distance) hold nodes of
-    bounded size.  Excluded are pairs whose sketches agree too little, and pairs
-    of one pivot whose distances to it differ by more than a link's distance
-    (Jaccard distance is a metric).  With ``own_only`` each class offers only
-    its best partner of all its nodes.
+    ``rows`` (path, rep, component, sketch, pivot, distance, paths) hold nodes
+    of bounded size.  Excluded are pairs whose sketches agree too little, and
+    pairs of one pivot whose distances to it differ by more than a link's
+    distance (Jaccard distance is a metric).  A pair of several nodes is
+    compared in the first of them; ``paths`` are the nodes of a class.  With
+    ``own_only`` each class offers only its best partner of all its nodes.
     """
     ship(rows.sparkSession)
-    least = share - SLACK * (share * (1 - share) / SKETCH) ** 0.5
     apart = 1 - share + 1e-9
 
-    def pairs(reps, parts, sketches, pivots, distances):
+    def pairs(reps, parts, sketches, pivots, distances, _):
+        places = len(sketches[0])
+        least = share - SLACK * (share * (1 - share) / places) ** 0.5
         sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(reps), -1)
         parts = np.array(parts)
         pivots = np.array(pivots, object)
@@ -231,6 +235,9 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
                         if x not in best or best[x][2] < agree:
                             best[x] = (i, k, agree)
                 found = sorted(set(best.values()))
+            else:
+                nodes = [frozenset(m[-1]) for m in members]
+                found = [x for x in found if min(nodes[x[0]] & nodes[x[1]]) == at]
             for i, k, agree in found:
                 a, b = sorted((members[i][0], members[k][0]))
                 out[0].append(a), out[1].append(b), out[2].append(agree)
@@ -258,7 +265,7 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
     key_arrow = to_arrow_type(kind)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (
-        rows.select("path", "rep", "component", "sketch", "pivot", "distance")
+        rows.select("path", "rep", "component", "sketch", "pivot", "distance", "paths")
         .repartition(n, "path").sortWithinPartitions("path", "rep")
         .mapInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}, agree double")
     )
@@ -436,15 +443,22 @@ def linked(
     pivots = measured.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "distance")
     # First the best partner in another component, then all of them.
     for own_only in (True, False):
-        rows = _mixed(_relabelled(small, comps)).join(sketches, "rep").join(pivots, "rep", "left")
+        rows = stored(_mixed(_relabelled(small, comps)).drop("size"), "mixed")
+        nodes_of = rows.groupBy("rep").agg(F.collect_set("path").alias("paths"))
+        known = sketches.withColumn(
+            "sketch", F.substring("sketch", 1, FIRST) if own_only else F.col("sketch")
+        )
+        rows = (
+            rows.join(known, "rep").join(pivots, "rep", "left")
+            .join(nodes_of, "rep")
+        )
         pairs = stored(_compare(rows, share, own_only), "pairs")
         own = sets.join(
             maybe_broadcast(_ends(pairs).withColumnRenamed("rep", "key"), reps.count(), 16),
             "key", "left_semi",
         )
         found = stored(_measured(pairs, own, percent).where("fits").select("a", "b"), "links")
-        links = links.union(found)
-        comps = components(links)
+        comps = extended(comps, found)
     dropped(sets)
     return comps
 
