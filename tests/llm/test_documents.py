@@ -259,6 +259,11 @@ def test_chains_are_one_component(spark):
     found = links.components(spark.createDataFrame(rows, "a long, b long"))
     labels = {r["node"]: r["component"] for r in found.collect()}
     assert labels == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    known = links.components(spark.createDataFrame(rows, "a long, b long"))
+    more = spark.createDataFrame([(40, 101), (300, 200)], "a long, b long")
+    labels = {r["node"]: r["component"] for r in links.extended(known, more).collect()}
+    assert labels == {**dict.fromkeys([*range(41), 100, 101], 0), 300: 200, 200: 200}
+    assert links.extended(known, more.limit(0)) is known
 
 
 # -- passages ---------------------------------------------------------------------------------
