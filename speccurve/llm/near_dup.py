@@ -35,7 +35,7 @@ MORE_LEVELS = 8
 SLACK = 4.9
 # Places of the longer sketch, one byte each, by which members of a node are
 # compared, and how many of them choose a class's best partner.
-SKETCH = 1024
+SKETCH = 768
 FIRST = 128
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -85,8 +85,8 @@ _SHIFTS = _seeds(SKETCH, 2)
 def signature(h: np.ndarray, places: int = PLACES) -> np.ndarray:
     """The least 32-bit hash of a set for each of ``places`` (SKETCH at most)."""
     out = np.full(places, 0xFFFFFFFF, np.uint64)
-    for lo in range(0, len(h), 4096):
-        part = h[lo : lo + 4096, None] * _FACTORS[:places] + _SHIFTS[:places]
+    for lo in range(0, len(h), 1024):
+        part = h[lo : lo + 1024, None] * _FACTORS[:places] + _SHIFTS[:places]
         out = np.minimum(out, (part >> np.uint64(32)).min(axis=0))
     return out.astype(np.uint32)
 
@@ -196,14 +196,15 @@ def _sketched(sets: DataFrame) -> DataFrame:
 
 
 def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
-    """a, b: classes in a node that are not in one component yet and may be similar.
+    """path, a, b, agree: classes in a node that are not in one component yet
+    and may be similar.
 
     ``rows`` (path, rep, component, sketch, pivot, distance, paths) hold nodes
     of bounded size.  Excluded are pairs whose sketches agree too little, and
     pairs of one pivot whose distances to it differ by more than a link's
     distance (Jaccard distance is a metric).  A pair of several nodes is
     compared in the first of them; ``paths`` are the nodes of a class.  With
-    ``own_only`` each class offers only its best partner of all its nodes.
+    ``own_only`` each class offers only its best partner of the node.
     """
     ship(rows.sparkSession)
     apart = 1 - share + 1e-9
@@ -240,9 +241,10 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
                 found = [x for x in found if min(nodes[x[0]] & nodes[x[1]]) == at]
             for i, k, agree in found:
                 a, b = sorted((members[i][0], members[k][0]))
-                out[0].append(a), out[1].append(b), out[2].append(agree)
+                for column, value in zip(out, (at, a, b, agree), strict=True):
+                    column.append(value)
 
-        out, held, at = ([], [], []), [], None
+        out, held, at = ([], [], [], []), [], None
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             for path, *member in zip(*columns, strict=True):
@@ -253,7 +255,7 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
                 held.append(member)
             if out[0]:
                 yield _pairs_batch(out, key_arrow)
-                out = ([], [], [])
+                out = ([], [], [], [])
         if len(held) > 1:
             node(held)
         if out[0]:
@@ -264,28 +266,20 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
     kind = rows.schema["rep"].dataType
     key_arrow = to_arrow_type(kind)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = (
+    return (
         rows.select("path", "rep", "component", "sketch", "pivot", "distance", "paths")
         .repartition(n, "path").sortWithinPartitions("path", "rep")
-        .mapInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}, agree double")
-    )
-    if own_only:
-        # One offer for each class, whatever the number of its nodes.
-        found = stored(found, "offers")
-        best = F.max(F.struct("agree", F.col("a").alias("a2"), F.col("b").alias("b2"))).alias("x")
-        found = (
-            found.select(F.col("a").alias("rep"), "*")
-            .union(found.select(F.col("b").alias("rep"), "*"))
-            .groupBy("rep").agg(best)
-            .select(F.col("x.a2").alias("a"), F.col("x.b2").alias("b"))
+        .mapInArrow(
+            run, f"path long, a {kind.simpleString()}, b {kind.simpleString()}, agree double"
         )
-    return found.select("a", "b").distinct()
+    )
 
 
 def _pairs_batch(out, kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(out[0], kind), pa.array(out[1], kind), pa.array(out[2], pa.float64())],
-        names=["a", "b", "agree"],
+        [pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], kind),
+         pa.array(out[3], pa.float64())],
+        names=["path", "a", "b", "agree"],
     )
 
 
@@ -441,24 +435,35 @@ def linked(
     sets = stored(sets_of(reps), "sets")
     sketches = stored(_sketched(sets), "sketches")
     pivots = measured.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "distance")
-    # First the best partner in another component, then all of them.
-    for own_only in (True, False):
+
+    def nodes_with(sketch: Column) -> DataFrame:
         rows = stored(_mixed(_relabelled(small, comps)).drop("size"), "mixed")
         nodes_of = rows.groupBy("rep").agg(F.collect_set("path").alias("paths"))
-        known = sketches.withColumn(
-            "sketch", F.substring("sketch", 1, FIRST) if own_only else F.col("sketch")
-        )
-        rows = (
-            rows.join(known, "rep").join(pivots, "rep", "left")
-            .join(nodes_of, "rep")
+        return (
+            rows.join(sketches.withColumn("sketch", sketch), "rep")
+            .join(pivots, "rep", "left").join(nodes_of, "rep")
         )
-        pairs = stored(_compare(rows, share, own_only), "pairs")
-        own = sets.join(
-            maybe_broadcast(_ends(pairs).withColumnRenamed("rep", "key"), reps.count(), 16),
-            "key", "left_semi",
-        )
-        found = stored(_measured(pairs, own, percent).where("fits").select("a", "b"), "links")
-        comps = extended(comps, found)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ends = maybe_broadcast(_ends(pairs).withColumnRenamed("rep", "key"), reps.count(), 16)
+        own = sets.join(ends, "key", "left_semi")
+        return stored(_measured(pairs, own, percent).where("fits").select("a", "b"), "links")
+
+    # First the best partner in another component of every class.
+    first = nodes_with(F.substring("sketch", 1, FIRST))
+    offers = stored(_compare(first, share, True), "offers")
+    partner = F.max(F.struct("agree", F.col("a").alias("x"), F.col("b").alias("y"))).alias("best")
+    pairs = (
+        offers.select("*", F.explode(F.array("a", "b")).alias("rep"))
+        .groupBy("rep").agg(partner).select(F.col("best.x").alias("a"), F.col("best.y").alias("b"))
+        .distinct()
+    )
+    comps = extended(comps, confirmed(stored(pairs, "pairs")))
+    # Then all partners, of the classes that had one to offer in a node.
+    met = offers.select("path", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    small = stored(small.join(met, ["path", "rep"], "left_semi"), "small")
+    pairs = stored(_compare(nodes_with(F.col("sketch")), share, False).select("a", "b"), "pairs")
+    comps = extended(comps, confirmed(pairs))
     dropped(sets)
     return comps
 
