@@ -5,25 +5,22 @@ from __future__ import annotations
 import dataclasses
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from speccurve.functions.labels import path_label
-from speccurve.job import SpecCurveJob
+from speccurve.job import ORDERS, SpecCurveJob
 from speccurve.operators.grid import control_layout, model_grid
 from speccurve.operators.solve import RESULT_FIELDS
 
-# The saved result columns, in order.
-SAVED = (
-    "coef se t_value p_value adj_r2 within_r2 f_stat df_resid ci99_lo ci99_hi "
-    "ci95_lo ci95_hi ci90_lo ci90_hi controls_test controls_all control_stats is_full obs"
-).split()
 LISTS = {
     "controls_test": RESULT_FIELDS["controls_test"],
     "controls_all": RESULT_FIELDS["controls_all"],
     "control_stats": RESULT_FIELDS["control_stats"],
 }
 KEYS = ["y", "x", "spec_name", "spec_tag", "bits", "grouping_variable", "group_value"]
+# The saved result columns: those of a result that are not its keys, in order.
+SAVED = [name for name in RESULT_FIELDS if name not in (*KEYS, "status")]
 
 
 def to_saved(results: DataFrame) -> DataFrame:
@@ -86,6 +83,28 @@ def read_results(spark: SparkSession, path: str, file_kind: str = "parquet") ->
     return from_saved(flat)
 
 
+def read_curve(spark: SparkSession, path: str, metadata: Row) -> DataFrame:
+    """One curve saved with SAVED columns alone, for the reports: its keys come
+    from its metadata (y, x, spec_name and, if there, spec_tag), and models are
+    numbered in the order of the file."""
+    flat = spark.read.option("header", True).option("escape", '"').csv(path)
+    known = metadata.asDict()
+    keys = {
+        "y": known["y"], "x": known["x"], "spec_name": known["spec_name"],
+        "spec_tag": known.get("spec_tag") or known["spec_name"],
+    }
+    keyed = flat.drop(*KEYS).withColumns({name: F.lit(value) for name, value in keys.items()})
+    return from_saved(keyed.withColumn("bits", F.monotonically_increasing_id()))
+
+
+def saved_order(metadata: Row, override: str | None = None) -> str:
+    """The order of a curve: the one asked for, else that of its metadata."""
+    order = override or metadata["order"]
+    if order not in ORDERS:
+        raise ValueError(f"order must be one of {', '.join(ORDERS)}")
+    return order
+
+
 def write_significance(table: DataFrame, path: str) -> bool:
     """Save the significance table in its order; nothing is written, and False
     returned, when no model is significant."""
@@ -120,13 +139,15 @@ def curve_metadata(spark: SparkSession, job: SpecCurveJob) -> DataFrame:
     """One row per curve: what a reader needs to draw it again."""
     rows = [
         (y, x, d.name, d.tag, job.test_names, job.must_names, job.matrix_names, job.order,
-         job.order == "signed_p")
+         job.order in ("p", "signed_p"), job.order == "signed_p", "spark", True, "",
+         f"{y}_{x}_{d.tag}")
         for y in job.y
         for x in job.x
         for d in job.active_designs
     ]
     groups = [
-        (r["kind"], r["group_start"], r["group_end"], r["group_label"])
+        (r["kind"], r["group_start"], r["group_end"], r["group_label"],
+         job.matrix_names[r["group_start"] : r["group_end"] + 1])
         for r in control_layout(spark, job).where("group_label is not null")
         .select("kind", "group_start", "group_end", "group_label").distinct()
         .orderBy("group_start").collect()
@@ -135,18 +156,20 @@ def curve_metadata(spark: SparkSession, job: SpecCurveJob) -> DataFrame:
         rows,
         "y string, x string, spec_name string, spec_tag string, "
         "controls_test_flat array<string>, controls_must_flat array<string>, "
-        "matrix_controls array<string>, `order` string, sort_by_signed_p boolean",
+        "matrix_controls array<string>, `order` string, sort_by_p_mode boolean, sort_by_signed_p boolean, engine string, "
+        "show_special_markers boolean, title_suffix string, output_path string",
     )
     alternatives = [
         F.struct(
             F.lit(kind).alias("kind"),
             F.lit(start).alias("start"),
             F.lit(end).alias("end"),
+            F.array(*map(F.lit, names)).alias("names"),
             F.lit(label).alias("label"),
         )
-        for kind, start, end, label in groups
+        for kind, start, end, label, names in groups
     ]
-    kind = "array<struct<kind:string,start:int,end:int,label:string>>"
+    kind = "array<struct<kind:string,start:int,end:int,names:array<string>,label:string>>"
     return frame.withColumn("matrix_alt_groups", F.array(*alternatives).cast(kind))
 
 

@@ -13,10 +13,14 @@ from speccurve.plans import report
 from speccurve.plans.hetero import median_split
 from speccurve.sources.panels import read_panel
 from speccurve.sources.results import (
+    SAVED,
     curve_metadata,
+    read_curve,
     read_manifest,
     read_metadata,
     read_results,
+    saved_order,
+    to_saved,
     write_grid,
     write_manifest,
     write_metadata,
@@ -157,6 +161,29 @@ def test_grid_manifest_metadata(spark, tmp_path):
     assert back.count() == curve_metadata(spark, JOB).count() == 8
     group = back.first()["matrix_alt_groups"][0]
     assert (group["start"], group["end"], group["label"]) == (2, 3, "0/1 of 2")
+    assert group["names"] == ["c", "d"]
+
+
+def test_report_from_a_file_and_its_metadata(spark, models, tmp_path):
+    write_metadata(spark, JOB, str(tmp_path / "meta"))
+    meta = read_metadata(spark, str(tmp_path / "meta")).orderBy("y", "x", "spec_tag").first()
+    own = models.where(
+        (F.col("y") == meta["y"]) & (F.col("x") == meta["x"])
+        & (F.col("spec_tag") == meta["spec_tag"])
+    )
+    path = str(tmp_path / "curve")
+    to_saved(own).select(*SAVED).coalesce(1).write.option("header", True).option(
+        "escape", '"'
+    ).csv(path)
+    back = read_curve(spark, path, meta)
+    for asked in (None, "p"):
+        order = saved_order(meta, asked)
+        assert order == (asked or JOB.order)
+        column = "p_value" if asked else "coef"
+        placed = [report.curve_table(t, order).orderBy("pos") for t in (back, own)]
+        got, want = ([r[column] for r in t.collect()] for t in placed)
+        assert got == want and len(got) == own.count() > 0
+    assert report.significance_table(back, JOB).count() == own.where("p_value < 0.10").count()
 
 
 def test_panel_formats(spark, tmp_path):
