@@ -216,26 +216,26 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
         parts = np.array(parts)
         pivots = np.array(pivots, object)
         distances = np.array([np.nan if d is None else d for d in distances])
-        for i in range(len(reps) - 1):
-            same = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
+        for i in range(len(reps)):
+            # A class's best partner may stand before it; other pairs are seen once.
+            at = 0 if own_only else i + 1
+            same = (sketches[at:] == sketches[i]).mean(axis=1)
             agree = (same - 1 / 256) / (1 - 1 / 256)
-            far = (pivots[i + 1 :] == pivots[i]) & (
-                np.abs(distances[i + 1 :] - distances[i]) > apart
-            )
-            fits = (agree >= least) & ~far & (parts[i + 1 :] != parts[i])
+            far = (pivots[at:] == pivots[i]) & (np.abs(distances[at:] - distances[i]) > apart)
+            fits = (agree >= least) & ~far & (parts[at:] != parts[i])
+            if own_only:
+                if fits.any():
+                    k = int(np.argmax(np.where(fits, agree, -1.0)))
+                    yield min(i, k), max(i, k), float(agree[k])
+                continue
             for k in np.flatnonzero(fits).tolist():
-                yield i, i + 1 + k, float(agree[k])
+                yield i, at + k, float(agree[k])
 
     def run(batches):
         def node(members):
             found = list(pairs(*zip(*members)))
             if own_only:
-                best = {}
-                for i, k, agree in found:
-                    for x in (i, k):
-                        if x not in best or best[x][2] < agree:
-                            best[x] = (i, k, agree)
-                found = sorted(set(best.values()))
+                found = sorted(set(found))
             else:
                 nodes = [frozenset(m[-1]) for m in members]
                 found = [x for x in found if min(nodes[x[0]] & nodes[x[1]]) == at]
