@@ -199,21 +199,22 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
     """path, a, b, agree: classes in a node that are not in one component yet
     and may be similar.
 
-    ``rows`` (path, rep, component, sketch, pivot, distance, paths) hold nodes
-    of bounded size.  Excluded are pairs whose sketches agree too little, and
-    pairs of one pivot whose distances to it differ by more than a link's
-    distance (Jaccard distance is a metric).  A pair of several nodes is
-    compared in the first of them; ``paths`` are the nodes of a class.  With
-    ``own_only`` each class offers only its best partner of the node.
+    ``rows`` (path, rep, component, sketch, pivot, distance, node, nodes, side)
+    hold nodes of bounded size.  Excluded are pairs whose sketches agree too
+    little, and pairs of one pivot whose distances to it differ by more than a
+    link's distance (Jaccard distance is a metric).  A pair of several nodes is
+    compared in the first of them; ``nodes`` are the nodes of a class, before
+    they are cut.  Where a row has a ``side``, only pairs of both sides count.
+    With ``own_only`` each class offers only its best partner of the node.
     """
     ship(rows.sparkSession)
     apart = 1 - share + 1e-9
 
-    def pairs(reps, parts, sketches, pivots, distances, _):
+    def pairs(reps, parts, sketches, pivots, distances, _node, sides, _nodes):
         places = len(sketches[0])
         least = share - SLACK * (share * (1 - share) / places) ** 0.5
         sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(reps), -1)
-        parts = np.array(parts)
+        parts, sides = np.array(parts), np.array(sides)
         pivots = np.array(pivots, object)
         distances = np.array([np.nan if d is None else d for d in distances])
         for i in range(len(reps)):
@@ -223,6 +224,8 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
             agree = (same - 1 / 256) / (1 - 1 / 256)
             far = (pivots[at:] == pivots[i]) & (np.abs(distances[at:] - distances[i]) > apart)
             fits = (agree >= least) & ~far & (parts[at:] != parts[i])
+            if sides[i]:
+                fits &= sides[at:] != sides[i]
             if own_only:
                 if fits.any():
                     k = int(np.argmax(np.where(fits, agree, -1.0)))
@@ -238,7 +241,8 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
                 found = sorted(set(found))
             else:
                 nodes = [frozenset(m[-1]) for m in members]
-                found = [x for x in found if min(nodes[x[0]] & nodes[x[1]]) == at]
+                own = members[0][-3]
+                found = [x for x in found if min(nodes[x[0]] & nodes[x[1]]) == own]
             for i, k, agree in found:
                 a, b = sorted((members[i][0], members[k][0]))
                 for column, value in zip(out, (at, a, b, agree), strict=True):
@@ -267,7 +271,9 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
     key_arrow = to_arrow_type(kind)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        rows.select("path", "rep", "component", "sketch", "pivot", "distance", "paths")
+        rows.select(
+            "path", "rep", "component", "sketch", "pivot", "distance", "node", "side", "nodes"
+        )
         .repartition(n, "path").sortWithinPartitions("path", "rep")
         .mapInArrow(
             run, f"path long, a {kind.simpleString()}, b {kind.simpleString()}, agree double"
@@ -402,14 +408,18 @@ def linked(
     sets_of: Callable[[DataFrame], DataFrame],
     percent: int,
     places: int = PLACES,
+    levels: int | None = None,
 ) -> DataFrame:
     """node, component of the classes linked with any other: similar classes
     that share a node of ``members`` (path, rep, pivot).
 
-    ``classes`` has the signature (sign) of each rep; ``sets_of`` gives the full
-    sets (key, h) of a table of reps.  Every link is confirmed on full sets.
+    ``classes`` has n_shingles and the signature (sign) of each rep; ``sets_of``
+    gives the full sets (key, h) of a table of reps.  Every link is confirmed on
+    full sets.  Large nodes branch on for ``levels`` (MORE_LEVELS) before they are
+    cut; with 0 no pair of a node is lost.
     """
     share = percent / 100
+    levels = MORE_LEVELS if levels is None else levels
     least = share - SLACK * (share * (1 - share) / places) ** 0.5
     signs = classes.select("rep", "sign")
     # Every class against the first of its nodes; the best agreement is confirmed.
@@ -430,7 +440,9 @@ def linked(
     comps = components(links)
 
     # What is left is compared within nodes of several components.
-    small = stored(_small_nodes(members.select("path", "rep"), comps, classes, share), "small")
+    small = stored(
+        _small_nodes(members.select("path", "rep"), comps, classes, share, levels), "small"
+    )
     reps = stored(small.select("rep").distinct(), "ends")
     sets = stored(sets_of(reps), "sets")
     sketches = stored(_sketched(sets), "sketches")
@@ -438,7 +450,7 @@ def linked(
 
     def nodes_with(sketch: Column) -> DataFrame:
         rows = stored(_mixed(_relabelled(small, comps)).drop("size"), "mixed")
-        nodes_of = rows.groupBy("rep").agg(F.collect_set("path").alias("paths"))
+        nodes_of = rows.groupBy("rep").agg(F.collect_set("node").alias("nodes"))
         return (
             rows.join(sketches.withColumn("sketch", sketch), "rep")
             .join(pivots, "rep", "left").join(nodes_of, "rep")
@@ -477,27 +489,87 @@ def _agreement(one: str, other: str) -> Column:
     return 4 * F.size(same) / F.octet_length(one)
 
 
-def _small_nodes(members: DataFrame, comps: DataFrame, classes: DataFrame, share: float):
-    """Nodes of at most NODE classes: large ones with several components branch
-    on; what stays large after MORE_LEVELS is cut into pairs of blocks, so that
-    every pair of classes still meets."""
+def _small_nodes(
+    members: DataFrame, comps: DataFrame, classes: DataFrame, share: float, levels: int
+) -> DataFrame:
+    """path, rep, node, side of nodes of some NODE classes at most: large ones
+    with several components branch on for ``levels``; what stays large is cut
+    into pairs of blocks, so that every pair of classes that may be linked
+    still meets.  ``node`` is the path before the cut."""
     rows = members
     out = None
-    for level in range(MORE_LEVELS + 1):
-        sized = stored(_mixed(_relabelled(rows, comps)).select("path", "rep", "size"), "nodes")
-        small = sized.where(F.col("size") <= NODE).select("path", "rep")
+    for level in range(levels + 1):
+        sized = stored(
+            _mixed(_relabelled(rows, comps)).select("path", "rep", "component", "size"), "nodes"
+        )
+        small = sized.where(F.col("size") <= NODE).select(
+            "path", "rep", F.col("path").alias("node"), F.lit(0).alias("side")
+        )
         out = small if out is None else out.union(small)
         large = sized.where(F.col("size") > NODE)
         if large.isEmpty():
             return out
-        if level < MORE_LEVELS:
+        if level < levels:
             large = large.select("path", "rep").join(classes.select("rep", "sign"), "rep")
             rows = _descend(large, 1, share, None)
+    return out.union(_block_pairs(large.select("path", "rep", "component"), classes, share))
+
+
+def _block_pairs(large: DataFrame, classes: DataFrame, share: float) -> DataFrame:
+    """path, rep, node, side: every pair of blocks of each node that may hold a
+    link between components.
+
+    A component of more than half a NODE has blocks of its own, which need not
+    meet each other; so a large group of near copies beside a few classes costs
+    some rows per class.  Blocks are bands of set sizes: sets of which one is
+    less than ``share`` of the other in size have no such similarity.
+    """
     half = NODE // 2
-    blocks = F.ceil(F.col("size") / half).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    cut = large.withColumn("n", blocks).withColumn("own", block).select(
-        "path", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    own = large.groupBy("path", "component").count().where(F.col("count") > half)
+    own = stored(own.select("path", "component", F.col("component").alias("only")), "own")
+    rows = large.join(classes.select("rep", "n_shingles"), "rep").join(
+        maybe_broadcast(own, own.count(), 32), ["path", "component"], "left"
+    )
+    band = F.floor(F.log("n_shingles") / max(-np.log(share).item(), 1e-3))
+    group = F.xxhash64("path", band, F.col("only").isNull(), "only")
+    rows = stored(rows.select("path", "rep", "only", "n_shingles", group.alias("group")), "rows")
+    counts = stored(
+        rows.groupBy("group").agg(F.ceil(F.count("*") / half).alias("n")).where("n > 1"), "groups"
+    )
+    block = F.pmod(F.xxhash64("rep"), F.coalesce("n", F.lit(1)))
+    rows = stored(
+        rows.join(maybe_broadcast(counts, counts.count(), 24), "group", "left")
+        .select("path", "rep", "only", "n_shingles", F.xxhash64("group", block).alias("block")),
+        "blocks",
+    )
+    blocks = stored(
+        rows.groupBy("path", "block").agg(
+            F.first("only").alias("only"), F.min("n_shingles").alias("lo"),
+            F.max("n_shingles").alias("hi"),
+        ),
+        "sizes",
+    )
+    one, two = blocks.alias("one"), blocks.alias("two")
+    least = share - 1e-9
+    met = one.join(two, "path").where(
+        (F.col("one.block") <= F.col("two.block"))
+        & ~F.coalesce(F.col("one.only") == F.col("two.only"), F.lit(False))
+        & (F.col("one.hi") >= least * F.col("two.lo"))
+        & (F.col("two.hi") >= least * F.col("one.lo"))
+    ).select(F.col("one.block").alias("x"), F.col("two.block").alias("y"))
+
+    def end(block: str, side: int) -> Column:
+        return F.struct(F.col(block).alias("block"), F.lit(side).alias("side"))
+
+    ends = F.when(F.col("x") == F.col("y"), F.array(end("x", 0))).otherwise(
+        F.array(end("x", 1), end("y", 2))
+    )
+    sides = stored(
+        met.select(F.xxhash64("x", "y").alias("pair"), F.explode(ends).alias("end")).select(
+            "pair", "end.block", "end.side"
+        ),
+        "sides",
+    )
+    return rows.join(sides, "block").select(
+        F.col("pair").alias("path"), "rep", F.col("path").alias("node"), "side"
     )
-    pair = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
-    return out.union(cut.select(pair.alias("path"), "rep"))

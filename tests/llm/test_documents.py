@@ -254,6 +254,39 @@ def test_large_nodes_branch_and_are_cut(spark, monkeypatch):
     assert len(set(want.values())) > 1
 
 
+def exact_pairs(spark, n):
+    """Sets (key, h) of ``n`` pairs that have just 80 % in common, and nothing else."""
+    rows = []
+    for i in range(n):
+        own = near_dup.mix(np.arange(10 * i + 1, 10 * i + 11, dtype=np.uint64))
+        own = own.view(np.int64).tolist()
+        rows += [(2 * i, own[:9]), (2 * i + 1, own[:8] + own[9:])]
+    return spark.createDataFrame(rows, "key long, h array<bigint>")
+
+
+def components_in_one_node(spark, sets, places, **options):
+    classes = near_dup.set_classes(near_dup.signed_sets(sets, places))
+    path, pivot = (F.lit(x).cast("long").alias(c) for x, c in ((7, "path"), (0, "pivot")))
+    members = classes.select(path, "rep", pivot)
+
+    def sets_of(reps):
+        return sets.join(reps.withColumnRenamed("rep", "key"), "key", "left_semi")
+
+    return near_dup.linked(members, classes, sets_of, 80, places, **options)
+
+
+def test_no_pair_of_a_large_bucket_is_lost(spark, monkeypatch):
+    sets, seen = exact_pairs(spark, 150), []
+    inner = near_dup.linked
+    monkeypatch.setattr(paragraphs, "linked", lambda *a, **b: seen.append((a, b)) or inner(*a, **b))
+    lines = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE)], "doc_id long, text string")
+    assert paragraphs.repeated_paragraphs(lines).count() == 1
+    # As paragraphs are compared, but all in one bucket.
+    options = seen[0][1] | {"levels": seen[0][0][5]} if len(seen[0][0]) > 5 else seen[0][1]
+    found = by_key(components_in_one_node(spark, sets, seen[0][0][4], **options), "node")
+    assert {k: r["component"] for k, r in found.items()} == {k: k - k % 2 for k in range(300)}
+
+
 def test_chains_are_one_component(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     found = links.components(spark.createDataFrame(rows, "a long, b long"))
