@@ -28,8 +28,9 @@ TREES = 12
 DEPTH = 3
 # Largest node compared exhaustively.
 NODE = 64
-# Levels after which what is still large is compared block by block.
-MORE_LEVELS = 8
+# Levels that large nodes branch on before they are compared block by block.
+# Branching is critical, so every level loses pairs: TREES is enough for DEPTH.
+MORE_LEVELS = 0
 # Agreement of signatures, in standard deviations below the similarity, from
 # which classes are compared further.
 SLACK = 4.9

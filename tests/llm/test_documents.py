@@ -287,6 +287,11 @@ def test_no_pair_of_a_large_bucket_is_lost(spark, monkeypatch):
     assert {k: r["component"] for k, r in found.items()} == {k: k - k % 2 for k in range(300)}
 
 
+def test_no_pair_of_a_large_node_is_lost(spark):
+    found = by_key(components_in_one_node(spark, exact_pairs(spark, 150), near_dup.PLACES), "node")
+    assert {k: r["component"] for k, r in found.items()} == {k: k - k % 2 for k in range(300)}
+
+
 def test_chains_are_one_component(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     found = links.components(spark.createDataFrame(rows, "a long, b long"))
