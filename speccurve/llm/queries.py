@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speccurve.llm import (
-    decontaminate, html_text, language, near_dup, paragraphs, pieces, quality, sharding,
-    token_counts, token_files,
+    decontaminate, hard_negatives, html_text, language, line_index, near_dup, paragraphs, periodic,
+    pieces, quality, sharding, token_counts, token_files,
 )
 from speccurve.llm.common import shared_folder, stored
 
@@ -184,7 +184,126 @@ def op9_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that three or more of them hold.
+
+    They come in two batches; toxic ones are then withdrawn and taken back, so
+    that the index counts all of them again.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    index = line_index.LineIndex(spark, shared_folder(spark, "lines"))
+    index.commit("english", added=docs.where(english))
+    index.commit("others", added=docs.where(~english))
+    index.commit("withdrawn", removed=toxic)
+    index.commit("back", added=docs.join(toxic.distinct(), "doc_id", "left_semi"))
+    return index.without_repeats(docs, least_docs=3).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256")
+    )
+
+
+_STRIPPED = "trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+OP11_SQL = f"""
+WITH lines AS (SELECT doc_id, n, x, translate({_STRIPPED}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, n, parts[n] AS x FROM (
+    SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS n
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))),
+common AS (SELECT k, max(doc_id) AS last FROM lines WHERE length(k) >= 20 GROUP BY k
+           HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, n, x, coalesce(doc_id <> last, false) AS gone
+           FROM lines LEFT JOIN common USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op12_segment_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector among all vectors."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    shifted = (F.col("label") + 1) % 10
+    vectors = table(spark, sf_dir, "embeddings").where(finite).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, shifted).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("v"),
+    )
+    found = hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+    return found.select(
+        "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id",
+        "positive_score", "negative_score",
+    )
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS double))) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+             CAST(list_inner_product(a.e, b.e) AS bigint) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id
+                               ORDER BY score DESC, other_id) AS integer) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 3
+"""
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: some documents end in a repetition that their key decides."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("w")
+
+    def planted(words: Column) -> Column:
+        a = (g % F.size(words)).cast("int")
+        p = (1 + F.floor((F.size(words) - a) / (3 + g % 8))).cast("int")
+        tail = F.transform(
+            F.sequence(a, F.size(words) - 1), lambda i: F.get(words, (a + (i - a) % p).cast("int"))
+        )
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    asked = docs.select(
+        "doc_id", "text", F.when(h % 10 == 0, words).otherwise(F.array().cast("array<string>"))
+        .alias("w"),
+    )
+    # Words are bound to a lambda's name, so they are not split again for each word.
+    made = F.get(F.transform(F.array("w"), planted), F.lit(0))
+    return asked.select("doc_id", F.when(n > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_basic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, and what is left without them."""
+    docs = _with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.periodic_runs(docs)
+
+    best = F.array_max(F.expr(
+        "transform(runs, r -> struct(r.length div r.period AS whole,"
+        " (r.length % r.period) / r.period AS rest, -r.start AS first, -r.period AS least,"
+        " r.length AS length))"
+    ))
+    listed = F.array_join(F.transform(
+        "runs", lambda r: F.concat_ws(",", r.start, r.length, F.concat(r.period, F.lit("\n")))
+    ), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.first")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.least")).alias("period"),
+        F.expr("1000 * best.length div -best.least").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256)
+        .alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
+    "op11_cuckoo_lines": op11_cuckoo_lines,
+    "op12_segment_summaries": op12_segment_summaries,
+    "op13_basic_factors": op13_basic_factors,
     "op3_delta_rollups": op3_delta_rollups,
     "op9_language_evidence": op9_language_evidence,
     "op1_host_suffix_array": op1_host_suffix_array,
@@ -197,4 +316,8 @@ QUERIES = {
     "op4_rendezvous_shards": op4_rendezvous_shards,
 }
 
-ORACLE: dict[str, str] = {"op2_prefix_decontamination": OP2_SQL}
+ORACLE: dict[str, str] = {
+    "op2_prefix_decontamination": OP2_SQL,
+    "op11_cuckoo_lines": OP11_SQL,
+    "op12_segment_summaries": OP12_SQL,
+}
