@@ -237,8 +237,8 @@ class LineIndex:
             {"batch": F.lit(number), "present": F.lit(True)}
         )
         self._written(mark, "documents", batch)
-        keys = F.array_compact(F.array_distinct(line_keys(F.col("text"), self.least_chars)))
-        lines = fresh.select("doc", F.explode(keys).alias("k")).select("k.*", "doc").distinct()
+        keys = F.explode(line_keys(F.col("text"), self.least_chars)).alias("k")
+        lines = fresh.select("doc", keys).where("k IS NOT NULL").select("k.*", "doc").distinct()
         lines = self._written(lines.withColumn("batch", F.lit(number)), "postings", batch)
         changes = lines.groupBy("k1", "k2").agg(
             F.count("*").alias("n"), F.max("doc").alias("last")
