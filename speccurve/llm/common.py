@@ -10,13 +10,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speccurve.deploy import ship
+from speccurve import deploy
 from speccurve.operators.scale import checkpoint_folder
 
 # A side of a join is broadcast only if its counted rows times its width fit.
 BROADCAST_BYTES = 32 << 20
 # Text handled at once by a Python task; longer texts are handled one by one.
 SLICE_BYTES = 4 << 20
+# Bytes of rows sent to Python at once.
+BATCH_BYTES = 8 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, and bound the bytes of a batch on its
+    way to Python where the session has not: rows are whole texts here."""
+    deploy.ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # the default
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

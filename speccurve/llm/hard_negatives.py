@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speccurve.deploy import ship
+from speccurve.llm.common import ship
 from speccurve.llm.common import stored
 
 # Rows of a block of vectors and of a block of anchors.

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speccurve.deploy import ship
-from speccurve.llm.common import map_texts, maybe_broadcast, stored
+from speccurve.llm.common import maybe_broadcast, ship, stored
 from speccurve.llm.near_dup import mix
 from speccurve.operators.scale import attach
 
@@ -123,18 +122,28 @@ class CuckooFilter:
             mark, one = mark[~now], one[~now]
 
 
-def line_keys(text: Column, least_chars: int) -> Column:
-    """Of every line, two hashes of it without white space at its ends and with
-    A-Z in lower case; null for short lines."""
+def line_keys(df: DataFrame, key: str, text: str, least_chars: int) -> DataFrame:
+    """k1, k2, doc, tie, pos of every line that is long enough: two hashes of it
+    without white space at its ends and with A-Z in lower case, the document, a
+    hash of its text, and the place of the line."""
+    lines = df.select(
+        F.col(key).alias("doc"), F.xxhash64(text).alias("tie"),
+        F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"),
+    )
+    plain = F.translate(F.btrim("line", F.lit(_SPACES)), _UPPER, _UPPER.lower())
+    # A cheap test first: bytes are no fewer than characters.
+    named = lines.where(F.octet_length("line") >= least_chars).withColumn("plain", plain)
+    return named.where(F.length("plain") >= least_chars).select(
+        F.xxhash64("plain").alias("k1"), F.xxhash64(F.lit(1), "plain").alias("k2"), "doc", "tie",
+        "pos",
+    )
 
-    def key(line: Column) -> Column:
-        plain = F.translate(F.btrim(line, F.lit(_SPACES)), _UPPER, _UPPER.lower())
-        return F.when(
-            F.length(plain) >= least_chars,
-            F.struct(F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit(1), plain).alias("k2")),
-        )
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), key)
+def _changes(lines: DataFrame) -> DataFrame:
+    """k1, k2, n, last: the documents of each line, once each, and the last of them."""
+    return lines.groupBy("k1", "k2").agg(
+        F.countDistinct("doc").alias("n"), F.max("doc").alias("last")
+    )
 
 
 class LineIndex:
@@ -222,7 +231,7 @@ class LineIndex:
         return last.where("x.n_docs > 0").select("k1", "k2", "x.*")
 
     def _postings(self) -> DataFrame:
-        """k1, k2, doc of every line of the documents in the index."""
+        """k1, k2, doc, tie, pos of every line of the documents in the index."""
         return self._read("postings").join(self._documents(), ["doc", "batch"]).drop("batch")
 
     def _added(self, batch: str, number: int, added: DataFrame) -> DataFrame:
@@ -237,12 +246,9 @@ class LineIndex:
             {"batch": F.lit(number), "present": F.lit(True)}
         )
         self._written(mark, "documents", batch)
-        keys = F.explode(line_keys(F.col("text"), self.least_chars)).alias("k")
-        lines = fresh.select("doc", keys).where("k IS NOT NULL").select("k.*", "doc").distinct()
+        lines = line_keys(fresh, "doc", "text", self.least_chars)
         lines = self._written(lines.withColumn("batch", F.lit(number)), "postings", batch)
-        changes = lines.groupBy("k1", "k2").agg(
-            F.count("*").alias("n"), F.max("doc").alias("last")
-        )
+        changes = _changes(lines)
         before = self.counts()
         if before is None:
             return changes.select(
@@ -278,9 +284,7 @@ class LineIndex:
             )
         n_gone = gone.count()
         lines = all_lines.join(maybe_broadcast(gone, n_gone, 20), ["doc", "batch"])
-        changes = lines.groupBy("k1", "k2").agg(
-            F.count("*").alias("n"), F.max("doc").alias("last")
-        )
+        changes = _changes(lines)
         left = stored(
             changes.join(before, ["k1", "k2"]).select(
                 "k1", "k2", (F.col("n_docs") - F.col("n")).alias("n_docs"), "last_doc",
@@ -382,72 +386,44 @@ class LineIndex:
         but the last (the largest key); they are told apart by their characters
         without white space at the ends, in lower case, if there are enough of
         them.  Other lines stay as they are, joined by a line feed; a null or
-        empty text is one empty line.  Documents that are not in the index and
-        rows with a null key lose nothing.  ``keep`` names columns to hand on.
+        empty text is one empty line.  Documents that are not in the index with
+        this text, and rows with a null key, lose nothing.  ``keep`` names
+        columns to hand on.  The texts are shuffled only if the list of cuts is
+        too large to be broadcast.
         """
-        counts = self.counts()
         named = docs.select(
             F.col(self.key).alias("doc"),
             *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)],
             F.coalesce(F.col(self.text), F.lit("")).alias("text"),
+            F.xxhash64(self.text).alias("tie"),
         )
-        kept = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
-        n_lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+        counts = self.counts()
         if counts is None:
-            return named.select(
-                F.col("doc").alias(self.key), *kept, "text", n_lines.alias("n_lines"),
-                F.lit(0).cast("long").alias("n_dropped"),
+            cut = named.withColumn("removed", F.lit(None).cast("array<int>"))
+        else:
+            common = stored(
+                counts.where(F.col("n_docs") >= least_docs)
+                .select("k1", "k2", "last_doc", F.col("n_docs").alias("n_rows")),
+                "common",
             )
-        common = stored(
-            counts.where(F.col("n_docs") >= least_docs)
-            .select("k1", "k2", "last_doc", F.col("n_docs").alias("n_rows")),
-            "common",
-        )
-        held = attach(self._postings(), common, ["k1", "k2"], common.count())
-        cuts = stored(
-            held.where("doc <> last_doc").groupBy("doc").agg(
-                F.collect_list("k1").alias("cut1"), F.collect_list("k2").alias("cut2")
-            ),
-            "cuts",
-        )
-        size = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("cut1")), F.lit(0))).first()
-        joined = named.join(maybe_broadcast(cuts, 1, 48 * size[0] + 16 * size[1]), "doc", "left")
-        some = joined.where("cut1 IS NOT NULL")
-        keys = line_keys(F.col("text"), self.least_chars)
-        some = some.withColumns(
-            {"key1": F.transform(keys, lambda k: k.k1), "key2": F.transform(keys, lambda k: k.k2)}
-        )
-        rest = joined.where("cut1 IS NULL").select(
-            "doc", *[f"_k{i}" for i in range(len(keep))], "text", n_lines.alias("n_lines"),
-            F.lit(0).cast("long").alias("n_dropped"),
-        )
-        cut = _cut(some, ["doc", *[f"_k{i}" for i in range(len(keep))]])
-        return cut.union(rest).select(
-            F.col("doc").alias(self.key), *kept, "text", "n_lines", "n_dropped"
+            held = attach(self._postings(), common, ["k1", "k2"], common.count())
+            cuts = stored(
+                held.where("doc <> last_doc").groupBy("doc", "tie").agg(
+                    F.collect_set("pos").alias("removed")
+                ),
+                "cuts",
+            )
+            size = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
+            small = maybe_broadcast(cuts, 1, 48 * size[0] + 4 * size[1])
+            cut = named.join(small, ["doc", "tie"], "left")
+        lines = F.split("text", "\n")
+        rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed")
+        kept = F.array_join(F.transform(rest, lambda i: F.get("_lines", i)), "\n")
+        n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+        return cut.withColumn("_lines", F.when(F.col("removed").isNotNull(), lines)).select(
+            F.col("doc").alias(self.key),
+            *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
+            F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text"),
+            n_lines.cast("long").alias("n_lines"),
+            F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_dropped"),
         )
-
-
-def _cut(df: DataFrame, columns: list[str]) -> DataFrame:
-    """columns, text, n_lines, n_dropped: ``text`` without the lines whose keys are cut."""
-    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in columns]
-    schema = ", ".join([*kinds, "text string", "n_lines bigint", "n_dropped bigint"])
-
-    def start():
-        def work(arrays):
-            *kept, cut1, cut2, key1, key2, text = arrays
-            out, n_lines, n_dropped = [], [], []
-            for one, two, a, b, t in zip(
-                *[x.to_pylist() for x in (cut1, cut2, key1, key2, text)], strict=True
-            ):
-                gone = set(zip(one, two, strict=True))
-                lines = t.split("\n")
-                stay = [x for x, *k in zip(lines, a, b, strict=True) if tuple(k) not in gone]
-                out.append("\n".join(stay))
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(stay))
-            return [*kept, pa.array(out, pa.string()), pa.array(n_lines, pa.int64()),
-                    pa.array(n_dropped, pa.int64())]
-
-        return work
-
-    return map_texts(df, [*columns, "cut1", "cut2", "key1", "key2", "text"], schema, start)

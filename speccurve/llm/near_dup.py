@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speccurve.deploy import ship
+from speccurve.llm.common import ship
 from speccurve.llm.common import dropped, maybe_broadcast, stored
 from speccurve.llm.links import components, extended
 

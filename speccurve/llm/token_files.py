@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speccurve.deploy import ship
+from speccurve.llm.common import ship
 from speccurve.llm.common import per_worker, shared_folder, stored, text_slices
 
 SEQUENCE = 2048
