@@ -14,8 +14,10 @@ from speccurve.operators.scale import attach, cached, durable, sum_arrays
 
 # Relative cutoff of the pseudo-inverse of the level equations.
 RANK_CUTOFF = 1e-10
-# Error left in any level effect, in units of the variables' spreads.
-ITERATE_TOL = 1e-9
+# What residuals may leave in a level on average, in units of the variables'
+# spreads: the solution is taken from SETTLED on and given up above LOOSE.
+SETTLED = 1e-12
+LOOSE = 1e-8
 
 
 def absorb(
@@ -55,11 +57,13 @@ def absorb(
     if n_levels > sweep_levels:
         # The graph of levels is taken from the rows before anything is joined to them.
         components = connected_components(rows, n_effects)
-        effects, loose = _iterate(rows, n_effects, values, rounds)
-        for k in range(n_effects):
+        effects, loose = _conjugate(rows, n_effects, main, values, rounds)
+        for k in rest:
             found = sum(f.levels[k] for f in facts.values())
             rows = _subtract(rows, effects[k], ["sid", f"f{k}"], values, found)
-        return rows, components, loose
+        return (
+            _subtract(rows, _means(rows, keys, values), keys, values, n_main), components, loose
+        )
     # The levels of the minor effects are stacked: one number for each.
     offset = 0
     for k in rest:
@@ -215,70 +219,187 @@ def _count_linked(adjacent: np.ndarray) -> int:
     return count
 
 
-def _iterate(
-    rows: DataFrame, n_effects: int, values, rounds: int
-) -> tuple[dict[int, DataFrame], set[int]]:
-    """Effects by alternating over the dimensions, for many minor levels, and
-    the samples that are not settled after ``rounds`` rounds.
-
-    Works on cells (all effect levels, row count, value sums); only the effect
-    tables change from round to round and each is written once per round.  The
-    change of a level is the mean of what is left in it.  Changes shrink by a
-    factor q from round to round, so the error left is about the last change
-    divided by 1 - q; that has to fall below ITERATE_TOL.
-    """
-    effects_keys = [f"f{k}" for k in range(n_effects)]
+def _numbered_cells(rows: DataFrame, n_effects: int, values):
+    """Cells (a number for each effect's level, row count, value sums) and, per
+    effect, its levels: sid, f, number, rows.  A number stands for one level of
+    one sample."""
+    keys = [f"f{k}" for k in range(n_effects)]
     cells = cached(
-        rows.groupBy("sid", *effects_keys).agg(
-            F.count("*").alias("cell_rows"), *[F.sum(v).alias(v) for v in values]
+        rows.groupBy("sid", *keys).agg(
+            F.count("*").cast("double").alias("n"), *[F.sum(v).alias(v) for v in values]
         )
     )
-    effects: dict[int, DataFrame] = {}
-    last: dict[int, float] = {}
-    loose: set[int] = set()
-    for _ in range(rounds):
-        now: dict[int, float] = {}
-        for k in range(n_effects):
-            left = cells
-            n_key = ["sid", f"f{k}"]
-            for other, table in effects.items():
-                if other == k:
-                    continue
-                left = left.join(table.drop("n_rows"), ["sid", f"f{other}"]).withColumns(
-                    {v: F.col(v) - F.col("cell_rows") * F.col(f"_m{v}") for v in values}
-                ).drop(*[f"_m{v}" for v in values])
-            size = F.sum("cell_rows")
-            fresh = durable(
-                left.groupBy(*n_key).agg(
-                    size.alias("n_rows"), *[(F.sum(v) / size).alias(f"_m{v}") for v in values]
-                )
+    numbered, levels = cells, {}
+    for k, f in enumerate(keys):
+        levels[k] = durable(
+            cells.groupBy("sid", f).agg(F.sum("n").cast("long").alias("n_rows")).withColumn(
+                f"i{k}", F.monotonically_increasing_id()
             )
-            if k in effects:
-                old = effects[k].select(*n_key, *[F.col(f"_m{v}").alias(f"_b{v}") for v in values])
-                moved = F.max(
-                    F.greatest(*[F.abs(F.col(f"_m{v}") - F.col(f"_b{v}")) for v in values],
-                               F.lit(0.0))
-                )
-                # One number for each sample of the wave.
-                for sid, change in fresh.join(old, n_key).groupBy("sid").agg(moved).collect():
-                    now[sid] = max(now.get(sid, 0.0), change)
-            else:
-                now.update(
-                    {r[0]: np.inf for r in fresh.select("sid").distinct().collect()}
-                )
-            effects[k] = fresh
-        loose = {sid for sid, change in now.items() if _left(change, last.get(sid)) > ITERATE_TOL}
-        last = now
-        if not loose:
-            break
+        )
+        numbered = attach(numbered, levels[k], ["sid", f], levels[k].count()).drop(f)
+    numbered = durable(numbered.drop("sid"))
     cells.unpersist()
-    return effects, loose
+    return numbered, levels
+
+
+class _LevelEquations:
+    """The equations of the minor levels, the main effect eliminated.
+
+    ``apply`` takes value sums per cell, takes out the means of the main levels
+    and adds up what is left by minor level.
+    """
 
+    def __init__(self, cells: DataFrame, main: int, rest: list[int], values, sizes):
+        self.cells, self.main, self.rest, self.values = cells, main, rest, values
+        self.sizes = sizes
+
+    def _without_main(self, cells: DataFrame) -> DataFrame:
+        key = f"i{self.main}"
+        n = F.sum("n")
+        means = cells.groupBy(key).agg(
+            n.cast("long").alias("n_rows"), *[(F.sum(v) / n).alias(f"_m{v}") for v in self.values]
+        )
+        joined = attach(cells, means, [key], self.sizes[self.main])
+        return joined.withColumns(
+            {v: F.col(v) - F.col("n") * F.col(f"_m{v}") for v in self.values}
+        ).drop(*[f"_m{v}" for v in self.values])
+
+    def apply(self, cells: DataFrame) -> DataFrame:
+        """k, i and the sums of every minor level."""
+        ends = [
+            F.struct(F.lit(k).alias("k"), F.col(f"i{k}").alias("i")) for k in self.rest
+        ]
+        every = self._without_main(cells).select(
+            F.explode(F.array(*ends)).alias("_e"), *self.values
+        )
+        return every.groupBy("_e.k", "_e.i").agg(*[F.sum(v).alias(v) for v in self.values])
+
+    def times(self, effects: DataFrame) -> DataFrame:
+        """The equations' matrix times ``effects`` (k, i, n_rows, values)."""
+        cells = self.cells.drop(*self.values)
+        total = {v: F.lit(0.0) for v in self.values}
+        for k in self.rest:
+            own = effects.where(F.col("k") == k).select(
+                F.col("i").alias(f"i{k}"), "n_rows",
+                *[F.col(v).alias(f"_{k}{v}") for v in self.values],
+            )
+            cells = attach(cells, own, [f"i{k}"], self.sizes[k])
+            total = {v: total[v] + F.col(f"_{k}{v}") for v in self.values}
+        return self.apply(cells.withColumns({v: F.col("n") * total[v] for v in self.values}))
+
+
+def _conjugate(
+    rows: DataFrame, n_effects: int, main: int, values, rounds: int
+) -> tuple[dict[int, DataFrame], set[int]]:
+    """Level effects of the minor effects by conjugate gradients, for any number
+    of levels, and the samples that are not settled after ``rounds`` rounds.
 
-def _left(change: float, before: float | None) -> float:
-    """The error left after a change that follows another one."""
-    if change <= 1e-14:  # rounding
-        return 0.0
-    if before is None or not before > change:
-        return np.inf
-    return change / (1 - change / before)
+    The main effect is eliminated level by level; the other levels' equations
+    are solved for all variables at once, each level scaled by its rows.  They
+    are singular but consistent, which the method bears.  A round joins the
+    search direction to the cells and adds up twice; one table is written.  It
+    ends when what the residuals leave in a level, on average, is below
+    SETTLED, counted anew from the solution and not from the recurrence.
+    """
+    cells, levels = _numbered_cells(rows, n_effects, values)
+    rest = [k for k in range(n_effects) if k != main]
+    equations = _LevelEquations(
+        cells, main, rest, values, {k: table.count() for k, table in levels.items()}
+    )
+    stacked = None
+    for k in rest:
+        one = levels[k].select("sid", F.lit(k).alias("k"), F.col(f"i{k}").alias("i"), "n_rows")
+        stacked = one if stacked is None else stacked.unionByName(one)
+    right = durable(
+        stacked.join(equations.apply(cells), ["k", "i"]).withColumns(
+            {f"b{v}": F.col(v) for v in values}
+        ).drop(*values)
+    )
+    solution = right.withColumns({f"x{v}": F.lit(0.0) for v in values})
+    left = 0
+    while True:
+        # The true residual of the solution so far; zero at first.
+        if left:
+            product = equations.times(
+                solution.select("k", "i", "n_rows", *[F.col(f"x{v}").alias(v) for v in values])
+            )
+            state = solution.join(product, ["k", "i"]).withColumns(
+                {f"r{v}": F.col(f"b{v}") - F.col(v) for v in values}
+            ).drop(*values)
+        else:
+            state = solution.withColumns({f"r{v}": F.col(f"b{v}") for v in values})
+        state = durable(state)
+        size, worst = _sizes(state, values)
+        open_ = {s for s, w in worst.items() if w > SETTLED}
+        if not open_ or left >= rounds:
+            break
+        solution, left = _descend(equations, state, values, size, worst, left, rounds)
+    effects = {
+        k: levels[k].drop("n_rows").join(
+            state.where(F.col("k") == k).select(
+                F.col("i").alias(f"i{k}"), "n_rows", *[F.col(f"x{v}").alias(f"_m{v}") for v in values]
+            ),
+            f"i{k}",
+        ).drop(f"i{k}")
+        for k in rest
+    }
+    return effects, {s for s, w in worst.items() if w > LOOSE}
+
+
+def _sizes(state: DataFrame, values):
+    """Per sample: the scaled squares of the residuals, and their largest mean."""
+    found = state.groupBy("sid").agg(
+        *[F.sum(F.col(f"r{v}") ** 2 / F.col("n_rows")).alias(f"s{v}") for v in values],
+        F.max(F.greatest(*[F.abs(F.col(f"r{v}")) / F.col("n_rows") for v in values], F.lit(0.0)))
+        .alias("worst"),
+    )
+    # One row per sample of the wave.
+    rows = found.collect()
+    return (
+        {r["sid"]: np.array([r[f"s{v}"] for v in values]) for r in rows},
+        {r["sid"]: r["worst"] for r in rows},
+    )
+
+
+def _per_sample(state: DataFrame, numbers: dict[int, np.ndarray], values, name: str) -> DataFrame:
+    data = [(sid, *map(float, x)) for sid, x in numbers.items()]
+    schema = "sid long, " + ", ".join(f"{name}{v} double" for v in values)
+    table = state.sparkSession.createDataFrame(data, schema)
+    return state.join(F.broadcast(table), "sid")
+
+
+def _descend(equations, state, values, size, worst, done, rounds):
+    """Rounds of conjugate gradients from the residuals of ``state`` on."""
+    state = state.withColumns({f"p{v}": F.col(f"r{v}") / F.col("n_rows") for v in values})
+    while done < rounds and any(w > SETTLED / 4 for w in worst.values()):
+        done += 1
+        product = equations.times(
+            state.select("k", "i", "n_rows", *[F.col(f"p{v}").alias(v) for v in values])
+        )
+        met = durable(state.join(product, ["k", "i"]))
+        curves = met.groupBy("sid").agg(
+            *[F.sum(F.col(f"p{v}") * F.col(v)).alias(v) for v in values]
+        ).collect()
+        step = {}
+        for row in curves:
+            bend = np.array([row[v] for v in values])
+            step[row["sid"]] = np.divide(
+                size[row["sid"]], bend, out=np.zeros(len(bend)), where=bend > 0
+            )
+        moved = _per_sample(met, step, values, "a").withColumns(
+            {f"x{v}": F.col(f"x{v}") + F.col(f"a{v}") * F.col(f"p{v}") for v in values}
+            | {f"r{v}": F.col(f"r{v}") - F.col(f"a{v}") * F.col(v) for v in values}
+        )
+        before = size
+        size, worst = _sizes(moved, values)
+        turn = {
+            sid: np.divide(now, before[sid], out=np.zeros(len(now)), where=before[sid] > 0)
+            for sid, now in size.items()
+        }
+        drop = [f"{c}{v}" for v in values for c in ("", "a", "t")]
+        state = _per_sample(moved, turn, values, "t").withColumns(
+            {f"p{v}": F.col(f"r{v}") / F.col("n_rows") + F.col(f"t{v}") * F.col(f"p{v}")
+             for v in values}
+        ).drop(*drop)
+    keep = [c for c in state.columns if not c.startswith(("p", "r"))]
+    return durable(state.select(*keep)), done

@@ -1,4 +1,4 @@
-"""Cross-products of residuals and the score moments of all models at once."""
+"""Cross-products of residuals, and sums that hold the score moments of all models."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bytes of score moments one task may hold, and of one product inside it.
+from speccurve.operators.scale import sum_arrays
+
+# Bytes of score moments one task may hold, and values of one product inside it.
 MOMENT_BYTES = 64 << 20
 CHUNK_VALUES = 4_000_000
 # Sums that still fit one compiled aggregation.
@@ -65,128 +67,119 @@ def triangle(size: int):
     return np.triu_indices(size)
 
 
-class ModelBlock:
-    """Coefficients of a bounded block of models, shipped to the tasks.
+def cluster_grams(rows: DataFrame, keys: list[str], n_vars: int) -> DataFrame:
+    """Cross-products per cluster: partial sums before the shuffle, so a
+    cluster holding most rows costs no task more than its share."""
+    row, col = triangle(n_vars)
+    return rows.groupBy("sid", *keys).agg(
+        *[F.sum(F.col(f"v{a}") * F.col(f"v{b}")).alias(f"g{i}")
+          for i, (a, b) in enumerate(zip(row, col))]
+    )
 
-    ``weights[sid]`` is variables x models: 1 at the outcome, minus the
-    coefficient at every kept regressor, so data @ weights are residuals.
-    """
 
-    def __init__(self, models: pd.DataFrame, n_vars: int):
-        self.n_vars = n_vars
-        self.mids: dict[int, np.ndarray] = {}
-        self.weights: dict[int, np.ndarray] = {}
-        self.kept: dict[int, list[np.ndarray]] = {}
-        self.width = 0
-        for sid, group in models.groupby("sid"):
-            weights = np.zeros((n_vars, len(group)))
-            kept = [np.asarray(k, dtype=int) for k in group["kept"]]
-            for m, (yi, k, beta) in enumerate(zip(group["yi"], kept, group["beta"])):
-                weights[yi, m] = 1.0
-                weights[k, m] -= np.asarray(beta)
-                self.width = max(self.width, len(k) * (len(k) + 1) // 2)
-            self.mids[int(sid)] = group["mid"].to_numpy()
-            self.weights[int(sid)] = weights
-            self.kept[int(sid)] = kept
-
-    def emit(self, kind: int, totals: dict[int, np.ndarray]):
-        """One row per model: the upper triangle of its score moments."""
-        row, col = triangle(self.n_vars)
-        place = np.zeros((self.n_vars, self.n_vars), dtype=int)
-        place[row, col] = place[col, row] = np.arange(len(row))
-        for sid, total in totals.items():
-            out = np.zeros((len(self.mids[sid]), self.width))
-            for m, k in enumerate(self.kept[sid]):
-                a, b = triangle(len(k))
-                out[m, : len(a)] = total[place[k[a], k[b]], m]
-            keys = {"mid": self.mids[sid], "kind": np.full(len(out), kind)}
-            yield _record(keys, out, self.names)
+def tensor_batch(keys: dict[str, int], total: np.ndarray) -> pa.RecordBatch:
+    """A matrix as one record per row."""
+    height, width = total.shape
+    columns = {k: pa.array(np.full(height, v), pa.int64()) for k, v in keys.items()}
+    columns["row"] = pa.array(np.arange(height), pa.int64())
+    columns["part"] = pa.ListArray.from_arrays(
+        pa.array(np.arange(height + 1) * width, pa.int32()), pa.array(total.ravel())
+    )
+    return pa.RecordBatch.from_pydict(columns)
 
-    @property
-    def names(self) -> list[str]:
-        return [f"p{i}" for i in range(self.width)]
 
+def _squares(kind: int, size: int, names: list[str], flat_of) -> callable:
+    """Adds up, per sample, the products of any two cross-products of a row."""
 
-def _robust_partial(shared, values):
     def partial(batches):
-        block = shared.value
-        row, col = triangle(len(values))
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            sids, data = _matrix(batch, values)
+            sids, data = _matrix(batch, names)
             for sid in np.unique(sids):
-                weights = block.weights.get(int(sid))
-                if weights is None:
-                    continue
                 part = data[sids == sid]
-                total = totals.setdefault(int(sid), np.zeros((len(row), weights.shape[1])))
-                step = max(1, CHUNK_VALUES // max(weights.shape[1], len(row)))
-                for at in range(0, len(part), step):
-                    piece = part[at : at + step]
-                    squares = (piece @ weights) ** 2
-                    total += (piece[:, row] * piece[:, col]).T @ squares
-        yield from block.emit(0, totals)
-
-    return partial
-
-
-def _cluster_partial(shared, n_vars, kind):
-    row, col = triangle(n_vars)
-
-    def partial(batches):
-        block = shared.value
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            sids, flat = _matrix(batch, [f"g{i}" for i in range(len(row))])
-            for sid in np.unique(sids):
-                weights = block.weights.get(int(sid))
-                if weights is None:
-                    continue
-                part = flat[sids == sid]
-                total = totals.setdefault(int(sid), np.zeros((len(row), weights.shape[1])))
-                step = max(1, CHUNK_VALUES // (n_vars * max(weights.shape[1], n_vars)))
+                total = totals.setdefault(int(sid), np.zeros((size, size)))
+                step = max(1, CHUNK_VALUES // size)
                 for at in range(0, len(part), step):
-                    piece = part[at : at + step]
-                    gram = np.empty((len(piece), n_vars, n_vars))
-                    gram[:, row, col] = piece
-                    gram[:, col, row] = piece
-                    scores = gram @ weights
-                    for i, (a, b) in enumerate(zip(row, col)):
-                        total[i] += np.einsum("gm,gm->m", scores[:, a], scores[:, b])
-        yield from block.emit(kind, totals)
+                    flat = flat_of(part[at : at + step])
+                    total += flat.T @ flat
+            if len(totals) * size * size * 8 > MOMENT_BYTES:
+                for sid, total in totals.items():
+                    yield tensor_batch({"sid": sid, "kind": kind}, total)
+                totals = {}
+        for sid, total in totals.items():
+            yield tensor_batch({"sid": sid, "kind": kind}, total)
 
     return partial
 
 
-def cluster_grams(rows: DataFrame, keys: list[str], n_vars: int) -> DataFrame:
-    """Cross-products per cluster: partial sums before the shuffle, so a
-    cluster holding most rows costs no task more than its share."""
-    row, col = triangle(n_vars)
-    return rows.groupBy("sid", *keys).agg(
-        *[F.sum(F.col(f"v{a}") * F.col(f"v{b}")).alias(f"g{i}")
-          for i, (a, b) in enumerate(zip(row, col))]
-    )
+TENSOR_SCHEMA = "sid long, kind long, row long, part array<double>"
 
 
-def score_moments(
-    rows: DataFrame, block: ModelBlock, kinds: dict[int, list[str]], n_vars: int
+def score_tensors(
+    rows: DataFrame, kinds: dict[int, list[str]], n_vars: int, n_samples: int
 ) -> DataFrame:
-    """mid, kind, part: sum over clusters of score x score', per model (the
-    upper triangle, filled up with zeros to the longest of the block).
+    """sid, kind, row, part: the matrix of sums over clusters of products of two
+    cross-products, row by row.
 
-    ``kinds`` maps a number to the cluster columns; kind 0 takes every row as
-    its own cluster.
+    A model's score in a cluster is linear in the cluster's cross-products, so
+    these sums hold the score moments of every model of the sample: no task
+    knows any model.  ``kinds`` maps a number to the cluster columns; in kind 0
+    every row is a cluster of its own.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(block)
-    values = [f"v{j}" for j in range(n_vars)]
-    schema = "mid long, kind long, " + ", ".join(f"{n} double" for n in block.names)
+    row, col = triangle(n_vars)
     union = None
     for kind, keys in kinds.items():
         if kind == 0:
-            one = rows.select("sid", *values).mapInArrow(_robust_partial(shared, values), schema)
+            names = [f"v{j}" for j in range(n_vars)]
+            source = rows.select("sid", *names)
+            work = _squares(kind, len(row), names, lambda x: x[:, row] * x[:, col])
         else:
-            grams = cluster_grams(rows, keys, n_vars).drop(*keys)
-            one = grams.mapInArrow(_cluster_partial(shared, n_vars, kind), schema)
+            names = [f"g{i}" for i in range(len(row))]
+            source = cluster_grams(rows, keys, n_vars).select("sid", *names)
+            work = _squares(kind, len(row), names, lambda x: x)
+        one = source.mapInArrow(work, TENSOR_SCHEMA)
         union = one if union is None else union.unionByName(one)
-    total = union.groupBy("mid", "kind").agg(*[F.sum(n).alias(n) for n in block.names])
-    return total.select("mid", "kind", F.array(*block.names).alias("part"))
+    n_keys = max(1, n_samples) * len(kinds) * len(row)
+    return sum_arrays(union, ["sid", "kind", "row"], "part", n_keys, len(row))
+
+
+def score_loads(
+    kept: np.ndarray, yi: int, beta: np.ndarray, n_vars: int, mean: np.ndarray | None
+) -> np.ndarray:
+    """The scores of a model as combinations of cross-products: kept regressors
+    x entries of the triangle.
+
+    With ``mean``, the cross-products are those of a constant and the variables,
+    and the scores those of the variables without their mean.
+    """
+    first = 0 if mean is None else 1
+    size = n_vars + first
+    left = np.zeros((len(kept), size))
+    left[np.arange(len(kept)), kept + first] = 1.0
+    weight = np.zeros(size)
+    weight[yi + first] = 1.0
+    weight[kept + first] -= beta
+    if mean is not None:
+        left[:, 0] = -mean[kept]
+        weight[0] = -(mean @ weight[1:])
+    row, col = triangle(size)
+    return left[:, row] * weight[col] + np.where(row != col, left[:, col] * weight[row], 0.0)
+
+
+def model_moments(
+    models: pd.DataFrame, tensors: dict[int, np.ndarray], n_vars: int, mean: np.ndarray | None
+) -> tuple[list, list]:
+    """For every model of one sample: its kinds, and for each the upper triangle
+    of its score moments."""
+    loads = [
+        score_loads(np.asarray(k, int), yi, np.asarray(b, float), n_vars, mean)
+        for yi, k, b in zip(models["yi"], models["kept"], models["beta"])
+    ]
+    ends = np.cumsum([len(x) for x in loads])
+    stacked = np.vstack(loads)
+    parts: list[list] = [[] for _ in loads]
+    for total in tensors.values():
+        half = stacked @ total
+        for i, (load, end) in enumerate(zip(loads, ends)):
+            parts[i].append((half[end - len(load) : end] @ load.T)[triangle(len(load))])
+    return [list(tensors)] * len(loads), parts

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from speccurve.catalog import Design
 from speccurve.job import SpecCurveJob
 from speccurve.operators.absorb import absorb
 from speccurve.operators.grid import pair_grid
-from speccurve.operators.moments import MOMENT_BYTES, ModelBlock, gram_matrices, score_moments
+from speccurve.operators.lattice import lattice_samples, samples_at_once
+from speccurve.operators.moments import gram_matrices, model_moments, score_tensors
 from speccurve.operators.panel import Panel, prepare
 from speccurve.operators.samples import Facts, expand, settle
 from speccurve.operators.scale import cached, durable
@@ -24,6 +27,9 @@ from speccurve.operators.solve import (
     solve_models,
 )
 
+# Models of one sample finished in one task.
+MODELS_PER_TASK = 4096
+
 
 @dataclass(frozen=True)
 class Focus:
@@ -100,10 +106,17 @@ def run(
         if absorption.needs not in grids:
             grids[absorption.needs] = model_table(spark, job, prepared, focus, absorption.needs)
         models, masks = grids[absorption.needs]
-        size = job.wave_size(prepared.n_rows)
+        # Without effects the rows are read once for many samples, see lattice.
+        summed = not absorption.fe and split is None
+        size = samples_at_once(len(prepared.variables)) if summed else job.wave_size(
+            prepared.n_rows
+        )
         for at in range(0, len(masks), size):
             wave = masks[at : at + size]
-            part = _wave(prepared, job, focus, absorption, models, wave, split)
+            if summed:
+                part = _summed(prepared, job, focus, absorption, models, wave)
+            else:
+                part = _wave(prepared, job, focus, absorption, models, wave, split)
             done = part if done is None else done.unionByName(part)
     prepared.source.unpersist()
     if done is None:
@@ -179,13 +192,7 @@ def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
     columns = setup.columns(panel) + [f"v{j}" for j in range(len(panel.variables))]
     extra = [panel.key((c,)).alias(f"s_{c}") for c in _scope_columns(split)]
     extra += [f"z{i}" for i in range(len(panel.groups))]
-    samples = spark.createDataFrame(
-        [(*mask, sid) for sid, mask in enumerate(masks)],
-        ", ".join(f"m{w} long" for w in range(panel.words)) + ", sid long",
-    )
-    words = [f"m{w}" for w in range(panel.words)]
-    # At most samples_per_wave rows.
-    wave_models = models.join(F.broadcast(samples), words).drop(*words)
+    wave_models = _models_of(panel, models, masks)
     if split:
         both = F.explode(F.array(F.lit(0), F.lit(1))).alias("half")
         wave_models = wave_models.select("*", both).withColumns(
@@ -225,10 +232,39 @@ def _wave(panel, job, focus, absorption, models, masks, split) -> DataFrame:
     return done
 
 
+def _models_of(panel: Panel, models: DataFrame, masks) -> DataFrame:
+    """The models of some samples; ``sid`` is the place of the mask."""
+    words = [f"m{w}" for w in range(panel.words)]
+    samples = models.sparkSession.createDataFrame(
+        [(*mask, sid) for sid, mask in enumerate(masks)],
+        ", ".join(f"{w} long" for w in words) + ", sid long",
+    )
+    # One row for each of the samples estimated together.
+    return models.join(F.broadcast(samples), words).drop(*words)
+
+
+def _summed(panel, job, focus, absorption, models, masks) -> DataFrame:
+    """Results of the models of many samples without effects, from sums by
+    pattern of missing values."""
+    setup = Setup(absorption, panel, None)
+    kinds, _ = _kinds(setup, absorption.designs)
+    clusters = {f"c{j}": panel.key(term) for j, term in enumerate(setup.clusters)}
+    tensors, facts, grams, means, table = lattice_samples(panel, masks, kinds, clusters)
+    solved = _solved(_models_of(panel, models, masks), grams, facts)
+    finisher = _finisher(
+        panel, job, focus, setup, absorption.designs, facts, grams, {}, set(), False
+    )
+    result = durable(_finish(solved, tensors, finisher, means))
+    for held in (solved, table):
+        held.unpersist()
+    return result
+
+
 class Setup:
     """Numbering of the effects and clusters of one absorption."""
 
-    def __init__(self, absorption: Absorption, panel: Panel, limit: int):
+    def __init__(self, absorption: Absorption, panel: Panel, limit: int | None):
+        """Keys with at most ``limit`` levels get short codes; None: no key does."""
         self.fe = absorption.fe
         self.n_effects = len(absorption.fe)
         designs = absorption.designs
@@ -242,7 +278,10 @@ class Setup:
 
         terms = {f"f{k}": t for k, t in enumerate(self.fe)}
         terms |= {f"c{j}": t for j, t in enumerate(self.clusters)}
-        self.codes = {name: panel.code(term, limit) for name, term in terms.items()}
+        self.codes = {
+            name: None if limit is None else panel.code(term, limit)
+            for name, term in terms.items()
+        }
         self.terms = terms
 
     def ids(self, design: Design) -> list[int]:
@@ -271,7 +310,6 @@ class Setup:
 
 
 def _estimate(panel, job, focus, setup, designs, models, rows, facts, halved) -> DataFrame:
-    spark = panel.rows.sparkSession
     n_vars = len(panel.variables)
     residuals, components, loose = absorb(
         rows, setup.n_effects, n_vars, facts, setup.level_counts, job.sweep_levels,
@@ -280,17 +318,31 @@ def _estimate(panel, job, focus, setup, designs, models, rows, facts, halved) ->
     keep = ["sid"] + [f"c{j}" for j in setup.cluster_ids] + [f"v{j}" for j in range(n_vars)]
     residuals = cached(residuals.select(*keep))
     grams = gram_matrices(residuals, n_vars)
-    shared = spark.sparkContext.broadcast((grams, {s: f.n for s, f in facts.items()}))
-    solved = cached(
-        models.select("mid", "sid", "yi", "fi", "must", "test", "is_full", "order").mapInPandas(
-            _solver(shared), SOLVED_SCHEMA
-        )
+    solved = _solved(models, grams, facts)
+    kinds, _ = _kinds(setup, designs)
+    finisher = _finisher(
+        panel, job, focus, setup, designs, facts, grams, components, loose, halved
     )
-    kinds, names = _kinds(setup, designs)
+    tensors = score_tensors(residuals, kinds, n_vars, len(facts))
+    result = durable(_finish(solved, tensors, finisher, {}))
+    for table in (solved, residuals):
+        table.unpersist()
+    return result
+
+
+def _solved(models: DataFrame, grams, facts) -> DataFrame:
+    shared = models.sparkSession.sparkContext.broadcast((grams, {s: f.n for s, f in facts.items()}))
+    columns = ["mid", "sid", "yi", "fi", "must", "test", "is_full", "order"]
+    return cached(models.select(*columns).mapInPandas(_solver(shared), SOLVED_SCHEMA))
+
+
+def _finisher(
+    panel, job, focus, setup, designs, facts, grams, components, loose, halved
+) -> Finisher:
     place = {name: i for i, name in enumerate(panel.variables)}
-    finisher = Finisher(
+    return Finisher(
         inference=job.inference,
-        designs=names,
+        designs=_kinds(setup, designs)[1],
         facts={
             sid: [
                 _design_facts(d, setup, fact, components.get(sid, 0), sid not in loose)
@@ -307,10 +359,6 @@ def _estimate(panel, job, focus, setup, designs, models, rows, facts, halved) ->
         halves=2 if halved else 1,
         outcomes=len(job.y),
     )
-    result = durable(_finish(solved, residuals, kinds, finisher, n_vars))
-    for table in (solved, residuals):
-        table.unpersist()
-    return result
 
 
 def _solver(shared):
@@ -360,35 +408,38 @@ def _design_facts(
     return DesignFacts(fact.n, absorbed, counted, tuple(groups), settled)
 
 
-def _finish(solved, residuals, kinds, finisher: Finisher, n_vars: int) -> DataFrame:
-    """Add the score moments and compute the result rows."""
-    spark = solved.sparkSession
-    count = finisher.models * len(finisher.labels) * finisher.halves * finisher.outcomes
-    size = max(1, MOMENT_BYTES // (8 * max(1, n_vars * (n_vars + 1) // 2)))
-    moments = None
-    blocks = -(-count // size)
-    columns = ["mid", "sid", "yi", "kept", "beta"]
-    for number in range(blocks):
-        # One block of models at a time passes the driver, see MOMENT_BYTES.
-        chosen = solved.where(F.size("kept") > 0)
-        if blocks > 1:
-            chosen = chosen.where(F.pmod(F.hash("mid"), F.lit(blocks)) == number)
-        models = chosen.select(*columns).toPandas()
-        if len(models):
-            block = score_moments(residuals, ModelBlock(models, n_vars), kinds, n_vars)
-            moments = block if moments is None else moments.unionByName(block)
-    if moments is None:
-        joined = solved.withColumns(
-            {"kinds": F.lit(None).cast("array<long>"),
-             "parts": F.lit(None).cast("array<array<double>>")}
-        )
-    else:
-        # A handful of entries per model: one per clustering.
-        entries = F.sort_array(F.collect_list(F.struct("kind", "part")))
-        gathered = moments.groupBy("mid").agg(entries.alias("_e")).select(
-            "mid", F.col("_e.kind").alias("kinds"), F.col("_e.part").alias("parts")
-        )
-        joined = solved.join(gathered, "mid", "left")
-    shared = spark.sparkContext.broadcast(finisher)
+def _finish(solved: DataFrame, tensors: DataFrame, finisher: Finisher, means: dict) -> DataFrame:
+    """The result rows: models meet the score tensors of their sample.
+
+    A sample with many models is dealt over several tasks, each with a copy of
+    the sample's tensors.
+    """
+    # One row per sample of the wave.
+    sizes = F.broadcast(
+        solved.groupBy("sid").agg(F.ceil(F.count("*") / MODELS_PER_TASK).cast("int").alias("n"))
+    )
+    left = solved.join(sizes, "sid").withColumn(
+        "block", F.pmod(F.xxhash64("mid"), F.col("n")).cast("int")
+    ).drop("n")
+    right = tensors.join(sizes, "sid").select(
+        "sid", "kind", "row", "part", F.explode(F.expr("sequence(0, n - 1)")).alias("block")
+    )
+    shared = solved.sparkSession.sparkContext.broadcast((finisher, means))
+
+    def finish(models: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        finisher, means = shared.value
+        models = models.drop(columns="block")
+        models["kinds"], models["parts"] = None, None
+        if len(models) and len(parts):
+            found = {
+                int(kind): np.vstack(own.sort_values("row")["part"].to_numpy())
+                for kind, own in parts.groupby("kind")
+            }
+            models["kinds"], models["parts"] = model_moments(
+                models, found, len(finisher.names), means.get(int(models["sid"].iloc[0]))
+            )
+        return next(iter(finisher([models])))
+
     schema = RESULT_SCHEMA + (", group_value int" if finisher.halves == 2 else "")
-    return joined.mapInPandas(lambda batches: shared.value(batches), schema)
+    keys = ("sid", "block")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(finish, schema)

@@ -142,11 +142,15 @@ def test_iterative_absorption(panel, frame):
 
 
 def test_model_blocks_and_many_variables(panel, frame, monkeypatch):
+    import speccurve.operators.lattice as lattice
     import speccurve.operators.moments as moments
     import speccurve.plans.curve as curve
 
-    monkeypatch.setattr(curve, "MOMENT_BYTES", 8 * 28 * 3)
+    monkeypatch.setattr(curve, "MODELS_PER_TASK", 2)
     monkeypatch.setattr(moments, "COMPILED_SUMS", 0)
+    for module in (lattice, moments):
+        monkeypatch.setattr(module, "MOMENT_BYTES", 8 * 36 * 36 * 3)
+        monkeypatch.setattr(module, "CHUNK_VALUES", 500)
     job = replace(JOB, test=("c_cbal", "x2"))
     check(spec_curve(panel, job), frame, job, job.active_designs)
 

@@ -118,10 +118,10 @@ def test_subgroups_and_interaction(spark):
     assert row["x"] == "c.x#c.z" and row["controls_all"] == [] and row["control_stats"] == []
     assert abs(row["coef"] - want["coef"]) < 1e-9 and abs(row["se"] - want["se"]) < 1e-9
 
-@pytest.mark.parametrize("rounds, status", [(2000, "ok"), (3, "not_converged")])
+@pytest.mark.parametrize("rounds, status", [(2000, "ok"), (2, "not_converged")])
 def test_slow_absorption_is_exact_or_says_so(spark, rounds, status):
     """A chain of firms and periods, each linked with its neighbours only."""
-    cells = [(i, t) for i in range(2) for t in (i, i + 1, i + 1, i + 1)]
+    cells = [(i, t) for i in range(9) for t in (i, i + 1, i + 1, i + 1)]
     rows = [(f"f{i}", "i", t, float((n * 7) % 11), float((n * n + t) % 13), 0.0)
             for n, (i, t) in enumerate(cells)]
     frame = spark.createDataFrame(rows, COLUMNS)
@@ -132,6 +132,6 @@ def test_slow_absorption_is_exact_or_says_so(spark, rounds, status):
     assert row["status"] == status
     if status == "ok":
         want = fit(pdf, "y", ["x"], design.fe, design.clusters)
-        assert abs(row["coef"] - want["coef"]) < 1e-7
+        assert abs(row["coef"] - want["coef"]) < 1e-10
     else:
         assert row["coef"] is None
