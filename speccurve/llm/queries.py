@@ -121,8 +121,8 @@ def op8_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the long paragraphs that repeat an earlier one."""
     cut = paragraphs.cut_repeats(table(spark, sf_dir, "documents"))
     return cut.select(
-        "doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "removed",
-        "first_docs", "text",
+        "doc_id", "n_paragraphs", "n_shared", F.size("removed").cast("long").alias("n_removed"),
+        "removed", "first_docs", "text",
     )
 
 

@@ -333,6 +333,11 @@ def test_passages_are_cut(corpus, docs, nothing):
     want = cut_by_brute_force(dict(enumerate(TEXTS)))
     assert all(r["text"] == want[r["doc_id"]] for r in rows if r["doc_id"] is not None)
     assert want[11] == "something else" and want[12] == "" and want[10] == TEXTS[10]
+    shared = {r["doc_id"]: r["n_shared"] for r in rows}
+    assert [k for k in range(len(TEXTS)) if shared[k]] == [6, 7, 8, 9, 10, 11, 12]
+    inside = docs.where("doc_id = 1").withColumn("text", F.lit(f"{PASSAGE}\n{PASSAGE}"))
+    row = paragraphs.cut_repeats(inside).first()
+    assert (row["text"], row["n_shared"], row["removed"]) == (PASSAGE, 0, [1])
     assert paragraphs.cut_repeats(nothing).count() == 0
 
 
