@@ -698,3 +698,47 @@ def document_panel(spark, sf_dir):
         F.round(F.col("coef") * 1000000, 4).alias("coef_micro"),
         F.round(F.col("se") * 1000000, 4).alias("se_micro"), "obs",
     )
+
+
+# -- many samples, many levels -----------------------------------------------
+
+# Every control misses other rows: each pair of alternatives has 3 choices.
+_GAPPY = [
+    (f"w{i}", f"CASE WHEN (firm + cell) % {11 + 2 * i} = {i} THEN NULL ELSE {c} END")
+    for i, c in enumerate(("c_tax", "c_size", "c_sbal", "c_retail", "c_cbal", "x2", "z", "c_tax * x2"))
+]
+
+
+def _gappy_models():
+    parts = []
+    for bits in range(81):
+        chosen, rest = [], bits
+        for slot in range(4):
+            digit, rest = rest % 3, rest // 3
+            chosen += [_GAPPY[2 * slot + digit - 1][1]] if digit else []
+        for tag, clusters in (("no_absorb_robust", []), ("no_absorb_cl_firm", ["firm"])):
+            parts.append(regression("p", "y", "x", controls=chosen, clusters=clusters,
+                                    k=str(2 + len(chosen)), rounds=1, select=basic_sql(tag, bits)))
+    return union(parts)
+
+
+@query("gappy_controls_curve", WITH_PANEL + _gappy_models())
+def gappy_controls_curve(spark, sf_dir):
+    """81 models under two designs; all have samples of their own."""
+    frame = panel(spark, sf_dir).withColumns({name: F.expr(sql) for name, sql in _GAPPY})
+    slots = [[_GAPPY[2 * s][0], _GAPPY[2 * s + 1][0]] for s in range(4)]
+    return basic(spec_curve(frame, job(["no_absorb_robust", "no_absorb_cl_firm"], test=slots)))
+
+
+@query(
+    "cell_firm_time_absorb",
+    WITH_PANEL + regression(
+        "p", "y", "x", controls=["x2"], fe=["cell", "(firm, tm)"], clusters=["home"], k="2 + l0",
+        rounds=90, drop=0, select=basic_sql("cell_firmtm_home"),
+    ),
+)
+def cell_firm_time_absorb(spark, sf_dir):
+    """Two effects of thousands of levels each."""
+    design = manual_design(["cell", ("firm", "tm")], ["home"], "cell_firmtm_home")
+    settings = job(extra=[design], must=("x2",), drop_singletons=False)
+    return basic(spec_curve(panel(spark, sf_dir), settings))
