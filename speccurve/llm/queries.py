@@ -9,7 +9,7 @@ from speccurve.llm import (
     decontaminate, hard_negatives, html_text, language, line_index, near_dup, paragraphs, periodic,
     pieces, quality, sharding, token_counts, token_files,
 )
-from speccurve.llm.common import shared_folder, stored
+from speccurve.llm.common import maybe_broadcast, shared_folder, stored
 
 SHARDS = 40
 TOKENIZERS = "/opt/tokenizers"
@@ -191,13 +191,15 @@ def op11_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     that the index counts all of them again.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    labels = table(spark, sf_dir, "labels")
+    toxic = stored(labels.where("toxic = 1").select("doc_id").distinct(), "toxic")
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     index = line_index.LineIndex(spark, shared_folder(spark, "lines"))
     index.commit("english", added=docs.where(english))
     index.commit("others", added=docs.where(~english))
     index.commit("withdrawn", removed=toxic)
-    index.commit("back", added=docs.join(toxic.distinct(), "doc_id", "left_semi"))
+    asked = maybe_broadcast(toxic, toxic.count(), 16)
+    index.commit("back", added=docs.join(asked, "doc_id", "left_semi"))
     return index.without_repeats(docs, least_docs=3).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256")
     )
