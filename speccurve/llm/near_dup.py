@@ -6,7 +6,8 @@ classes: a node chooses one or two places of the signature by its own path
 (1 / similarity of them on average), and a class goes on to the children named
 by its tokens there.  Similar classes share a leaf of a tree with a probability
 that hardly falls with the depth; independent trees bring it near one.  Small
-nodes are compared exhaustively, by signature first and then on the full sets.
+nodes are compared exhaustively, by signature first and then on the full sets;
+the classes of large ones by a join of the rarest shingles of their sets.
 """
 
 from __future__ import annotations
@@ -28,9 +29,6 @@ TREES = 12
 DEPTH = 3
 # Largest node compared exhaustively.
 NODE = 64
-# Levels that large nodes branch on before they are compared block by block.
-# Branching is critical, so every level loses pairs: TREES is enough for DEPTH.
-MORE_LEVELS = 0
 # Agreement of signatures, in standard deviations below the similarity, from
 # which classes are compared further.
 SLACK = 4.9
@@ -200,22 +198,20 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
     """path, a, b, agree: classes in a node that are not in one component yet
     and may be similar.
 
-    ``rows`` (path, rep, component, sketch, pivot, distance, node, nodes, side)
-    hold nodes of bounded size.  Excluded are pairs whose sketches agree too
+    ``rows`` (path, rep, component, sketch, pivot, distance, nodes) hold nodes
+    of bounded size.  Excluded are pairs whose sketches agree too
     little, and pairs of one pivot whose distances to it differ by more than a
     link's distance (Jaccard distance is a metric).  A pair of several nodes is
-    compared in the first of them; ``nodes`` are the nodes of a class, before
-    they are cut.  Where a row has a ``side``, only pairs of both sides count.
-    With ``own_only`` each class offers only its best partner of the node.
+    compared in the first of them; ``nodes`` are the nodes of a class.  With ``own_only`` each class offers only its best partner of the node.
     """
     ship(rows.sparkSession)
     apart = 1 - share + 1e-9
 
-    def pairs(reps, parts, sketches, pivots, distances, _node, sides, _nodes):
+    def pairs(reps, parts, sketches, pivots, distances, _nodes):
         places = len(sketches[0])
         least = share - SLACK * (share * (1 - share) / places) ** 0.5
         sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(reps), -1)
-        parts, sides = np.array(parts), np.array(sides)
+        parts = np.array(parts)
         pivots = np.array(pivots, object)
         distances = np.array([np.nan if d is None else d for d in distances])
         for i in range(len(reps)):
@@ -225,8 +221,6 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
             agree = (same - 1 / 256) / (1 - 1 / 256)
             far = (pivots[at:] == pivots[i]) & (np.abs(distances[at:] - distances[i]) > apart)
             fits = (agree >= least) & ~far & (parts[at:] != parts[i])
-            if sides[i]:
-                fits &= sides[at:] != sides[i]
             if own_only:
                 if fits.any():
                     k = int(np.argmax(np.where(fits, agree, -1.0)))
@@ -236,13 +230,12 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
                 yield i, at + k, float(agree[k])
 
     def run(batches):
-        def node(members):
+        def node(own, members):
             found = list(pairs(*zip(*members)))
             if own_only:
                 found = sorted(set(found))
             else:
                 nodes = [frozenset(m[-1]) for m in members]
-                own = members[0][-3]
                 found = [x for x in found if min(nodes[x[0]] & nodes[x[1]]) == own]
             for i, k, agree in found:
                 a, b = sorted((members[i][0], members[k][0]))
@@ -255,14 +248,14 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
             for path, *member in zip(*columns, strict=True):
                 if path != at:
                     if len(held) > 1:
-                        node(held)
+                        node(at, held)
                     held, at = [], path
                 held.append(member)
             if out[0]:
                 yield _pairs_batch(out, key_arrow)
                 out = ([], [], [], [])
         if len(held) > 1:
-            node(held)
+            node(at, held)
         if out[0]:
             yield _pairs_batch(out, key_arrow)
 
@@ -272,9 +265,7 @@ def _compare(rows: DataFrame, share: float, own_only: bool) -> DataFrame:
     key_arrow = to_arrow_type(kind)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        rows.select(
-            "path", "rep", "component", "sketch", "pivot", "distance", "node", "side", "nodes"
-        )
+        rows.select("path", "rep", "component", "sketch", "pivot", "distance", "nodes")
         .repartition(n, "path").sortWithinPartitions("path", "rep")
         .mapInArrow(
             run, f"path long, a {kind.simpleString()}, b {kind.simpleString()}, agree double"
@@ -409,18 +400,15 @@ def linked(
     sets_of: Callable[[DataFrame], DataFrame],
     percent: int,
     places: int = PLACES,
-    levels: int | None = None,
 ) -> DataFrame:
     """node, component of the classes linked with any other: similar classes
     that share a node of ``members`` (path, rep, pivot).
 
     ``classes`` has n_shingles and the signature (sign) of each rep; ``sets_of``
     gives the full sets (key, h) of a table of reps.  Every link is confirmed on
-    full sets.  Large nodes branch on for ``levels`` (MORE_LEVELS) before they are
-    cut; with 0 no pair of a node is lost.
+    full sets, and no pair of a node is lost.
     """
     share = percent / 100
-    levels = MORE_LEVELS if levels is None else levels
     least = share - SLACK * (share * (1 - share) / places) ** 0.5
     signs = classes.select("rep", "sign")
     # Every class against the first of its nodes; the best agreement is confirmed.
@@ -441,9 +429,11 @@ def linked(
     comps = components(links)
 
     # What is left is compared within nodes of several components.
-    small = stored(
-        _small_nodes(members.select("path", "rep"), comps, classes, share, levels), "small"
+    rows = stored(
+        _mixed(_relabelled(members.select("path", "rep"), comps)).select("path", "rep", "size"),
+        "nodes",
     )
+    small = stored(rows.where(F.col("size") <= NODE).select("path", "rep"), "small")
     reps = stored(small.select("rep").distinct(), "ends")
     sets = stored(sets_of(reps), "sets")
     sketches = stored(_sketched(sets), "sketches")
@@ -451,18 +441,19 @@ def linked(
 
     def nodes_with(sketch: Column) -> DataFrame:
         rows = stored(_mixed(_relabelled(small, comps)).drop("size"), "mixed")
-        nodes_of = rows.groupBy("rep").agg(F.collect_set("node").alias("nodes"))
+        nodes_of = rows.groupBy("rep").agg(F.collect_set("path").alias("nodes"))
         return (
             rows.join(sketches.withColumn("sketch", sketch), "rep")
             .join(pivots, "rep", "left").join(nodes_of, "rep")
         )
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ends = maybe_broadcast(_ends(pairs).withColumnRenamed("rep", "key"), reps.count(), 16)
+    def confirmed(pairs: DataFrame, sets: DataFrame, n_sets: int) -> DataFrame:
+        ends = maybe_broadcast(_ends(pairs).withColumnRenamed("rep", "key"), n_sets, 16)
         own = sets.join(ends, "key", "left_semi")
         return stored(_measured(pairs, own, percent).where("fits").select("a", "b"), "links")
 
     # First the best partner in another component of every class.
+    n_reps = reps.count()
     first = nodes_with(F.substring("sketch", 1, FIRST))
     offers = stored(_compare(first, share, True), "offers")
     partner = F.max(F.struct("agree", F.col("a").alias("x"), F.col("b").alias("y"))).alias("best")
@@ -471,106 +462,90 @@ def linked(
         .groupBy("rep").agg(partner).select(F.col("best.x").alias("a"), F.col("best.y").alias("b"))
         .distinct()
     )
-    comps = extended(comps, confirmed(stored(pairs, "pairs")))
+    comps = extended(comps, confirmed(stored(pairs, "pairs"), sets, n_reps))
     # Then all partners, of the classes that had one to offer in a node.
     met = offers.select("path", F.explode(F.array("a", "b")).alias("rep")).distinct()
     small = stored(small.join(met, ["path", "rep"], "left_semi"), "small")
     pairs = stored(_compare(nodes_with(F.col("sketch")), share, False).select("a", "b"), "pairs")
-    comps = extended(comps, confirmed(pairs))
+    comps = extended(comps, confirmed(pairs, sets, n_reps))
     dropped(sets)
-    return comps
-
 
-def _agreement(one: str, other: str) -> Column:
-    """Share of equal places of two binary signatures, in columns only."""
-    at = F.sequence(F.lit(1), F.octet_length(one), F.lit(4))
-    same = F.filter(
-        at, lambda i: F.substring(F.col(one), i, F.lit(4)) == F.substring(F.col(other), i, F.lit(4))
+    large = rows.where(F.col("size") > NODE).select("path", "rep")
+    reps = stored(
+        _mixed(_relabelled(large, comps)).select("rep", "component").distinct(), "ends"
     )
-    return 4 * F.size(same) / F.octet_length(one)
+    if reps.isEmpty():
+        return comps
+    sets = stored(sets_of(reps.select("rep")), "sets")
+    pairs = stored(_rarest_in_common(sets, reps, percent), "pairs")
+    comps = extended(comps, confirmed(pairs, sets, reps.count()))
+    dropped(sets)
+    return comps
 
 
-def _small_nodes(
-    members: DataFrame, comps: DataFrame, classes: DataFrame, share: float, levels: int
-) -> DataFrame:
-    """path, rep, node, side of nodes of some NODE classes at most: large ones
-    with several components branch on for ``levels``; what stays large is cut
-    into pairs of blocks, so that every pair of classes that may be linked
-    still meets.  ``node`` is the path before the cut."""
-    rows = members
-    out = None
-    for level in range(levels + 1):
-        sized = stored(
-            _mixed(_relabelled(rows, comps)).select("path", "rep", "component", "size"), "nodes"
-        )
-        small = sized.where(F.col("size") <= NODE).select(
-            "path", "rep", F.col("path").alias("node"), F.lit(0).alias("side")
-        )
-        out = small if out is None else out.union(small)
-        large = sized.where(F.col("size") > NODE)
-        if large.isEmpty():
-            return out
-        if level < levels:
-            large = large.select("path", "rep").join(classes.select("rep", "sign"), "rep")
-            rows = _descend(large, 1, share, None)
-    return out.union(_block_pairs(large.select("path", "rep", "component"), classes, share))
-
-
-def _block_pairs(large: DataFrame, classes: DataFrame, share: float) -> DataFrame:
-    """path, rep, node, side: every pair of blocks of each node that may hold a
-    link between components.
-
-    A component of more than half a NODE has blocks of its own, which need not
-    meet each other; so a large group of near copies beside a few classes costs
-    some rows per class.  Blocks are bands of set sizes: sets of which one is
-    less than ``share`` of the other in size have no such similarity.
+def _rarest_in_common(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of classes of different components (``reps``: rep, component)
+    that may be linked, by a prefix-filtered join of their ``sets`` (key, h).
+
+    Shingles are ordered by how many sets have them.  Two sets of sizes x <= y
+    with a similarity of t share 2 t / (1 + t) x shingles at least, and t y; so
+    they share one of the first x - 2 t / (1 + t) x + 1 of the one and of the
+    first y - t y + 1 of the other.  A class beside a large group of near copies
+    that is not linked with it lacks more than that of their shingles and has as
+    many of its own, which are rare; so the group's shingles are in no prefix of
+    another component, and are dropped before anything is joined.
     """
-    half = NODE // 2
-    own = large.groupBy("path", "component").count().where(F.col("count") > half)
-    own = stored(own.select("path", "component", F.col("component").alias("only")), "own")
-    rows = large.join(classes.select("rep", "n_shingles"), "rep").join(
-        maybe_broadcast(own, own.count(), 32), ["path", "component"], "left"
+    sized = sets.join(reps.withColumnRenamed("rep", "key"), "key").select(
+        # A repeated key may have several sets.
+        F.monotonically_increasing_id().alias("set"), "key", "component", F.size("h").alias("n"),
+        "h",
     )
-    band = F.floor(F.log("n_shingles") / max(-np.log(share).item(), 1e-3))
-    group = F.xxhash64("path", band, F.col("only").isNull(), "only")
-    rows = stored(rows.select("path", "rep", "only", "n_shingles", group.alias("group")), "rows")
-    counts = stored(
-        rows.groupBy("group").agg(F.ceil(F.count("*") / half).alias("n")).where("n > 1"), "groups"
+    tokens = stored(
+        sized.select("set", "key", "component", "n", F.explode("h").alias("h")), "tokens"
     )
-    block = F.pmod(F.xxhash64("rep"), F.coalesce("n", F.lit(1)))
-    rows = stored(
-        rows.join(maybe_broadcast(counts, counts.count(), 24), "group", "left")
-        .select("path", "rep", "only", "n_shingles", F.xxhash64("group", block).alias("block")),
-        "blocks",
+    # What one set alone has comes first and meets nothing: only its number counts.
+    several = stored(
+        tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "several"
     )
-    blocks = stored(
-        rows.groupBy("path", "block").agg(
-            F.first("only").alias("only"), F.min("n_shingles").alias("lo"),
-            F.max("n_shingles").alias("hi"),
-        ),
-        "sizes",
+    ranked = (
+        tokens.join(maybe_broadcast(several, several.count(), 16), "h")
+        .groupBy("set", "key", "component", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("t"))
     )
-    one, two = blocks.alias("one"), blocks.alias("two")
-    least = share - 1e-9
-    met = one.join(two, "path").where(
-        (F.col("one.block") <= F.col("two.block"))
-        & ~F.coalesce(F.col("one.only") == F.col("two.only"), F.lit(False))
-        & (F.col("one.hi") >= least * F.col("two.lo"))
-        & (F.col("two.hi") >= least * F.col("one.lo"))
-    ).select(F.col("one.block").alias("x"), F.col("two.block").alias("y"))
-
-    def end(block: str, side: int) -> Column:
-        return F.struct(F.col(block).alias("block"), F.lit(side).alias("side"))
-
-    ends = F.when(F.col("x") == F.col("y"), F.array(end("x", 0))).otherwise(
-        F.array(end("x", 1), end("y", 2))
+    alone = F.col("n") - F.size("t")
+    n, two = F.col("n"), 2 * percent
+    # In whole numbers: n - ceil(need) + 1.
+    short = n - F.expr(f"({two} * n + {99 + percent}) div {100 + percent}") + 1
+    long = n - F.expr(f"({percent} * n + 99) div 100") + 1
+    first = F.slice("t", F.lit(1), F.greatest(long - alone, F.lit(0)).cast("int"))
+    placed = ranked.select(
+        "key", "component", "n", F.posexplode(first).alias("at", "token"),
+        (short - alone).alias("short"),
+    ).select("key", "component", "n", "token.h", (F.col("at") < F.col("short")).alias("short"))
+    placed = stored(placed, "prefixes")
+    mixed = stored(
+        placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .where("lo <> hi").select("h"),
+        "mixed",
     )
-    sides = stored(
-        met.select(F.xxhash64("x", "y").alias("pair"), F.explode(ends).alias("end")).select(
-            "pair", "end.block", "end.side"
-        ),
-        "sides",
+    own = stored(placed.join(maybe_broadcast(mixed, mixed.count(), 16), "h"), "prefixes")
+    one = own.where("short").select("h", F.col("key").alias("x"), F.col("component").alias("cx"),
+                                    F.col("n").alias("nx"))
+    other = own.select("h", F.col("key").alias("y"), F.col("component").alias("cy"),
+                       F.col("n").alias("ny"))
+    fits = (
+        (F.col("cx") != F.col("cy")) & (100 * F.col("nx") >= percent * F.col("ny"))
+        & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
     )
-    return rows.join(sides, "block").select(
-        F.col("pair").alias("path"), "rep", F.col("path").alias("node"), "side"
+    return one.join(other, "h").where(fits).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    ).distinct()
+
+
+def _agreement(one: str, other: str) -> Column:
+    """Share of equal places of two binary signatures, in columns only."""
+    at = F.sequence(F.lit(1), F.octet_length(one), F.lit(4))
+    same = F.filter(
+        at, lambda i: F.substring(F.col(one), i, F.lit(4)) == F.substring(F.col(other), i, F.lit(4))
     )
+    return 4 * F.size(same) / F.octet_length(one)

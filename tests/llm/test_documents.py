@@ -238,7 +238,6 @@ def test_near_duplicate_edges(docs, nothing):
 def test_large_nodes_branch_and_are_cut(spark, monkeypatch):
     """Many near copies with small nodes: branching and blocks lose no link."""
     monkeypatch.setattr(near_dup, "NODE", 4)
-    monkeypatch.setattr(near_dup, "MORE_LEVELS", 1)
     draw = np.random.default_rng(2)
     base = [f"w{i}" for i in range(60)]
     texts = []
