@@ -497,18 +497,19 @@ def _rarest_in_common(sets: DataFrame, reps: DataFrame, percent: int) -> DataFra
     """
     sized = sets.join(reps.withColumnRenamed("rep", "key"), "key").select(
         # A repeated key may have several sets.
-        F.monotonically_increasing_id().alias("set"), "key", "component", F.size("h").alias("n"),
+        F.monotonically_increasing_id().alias("set"), "key", "component", F.size("h").cast("long").alias("n"),
         "h",
     )
-    tokens = stored(
-        sized.select("set", "key", "component", "n", F.explode("h").alias("h")), "tokens"
-    )
-    # What one set alone has comes first and meets nothing: only its number counts.
     several = stored(
-        tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "several"
+        sized.select("component", F.explode("h").alias("h")).groupBy("h").agg(
+            F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")
+        ).where("lo <> hi").select("h", "df"),
+        "several",
     )
+    # What one component alone has comes first and meets nothing: only its number counts.
     ranked = (
-        tokens.join(maybe_broadcast(several, several.count(), 16), "h")
+        sized.select("set", "key", "component", "n", F.explode("h").alias("h"))
+        .join(maybe_broadcast(several, several.count(), 16), "h")
         .groupBy("set", "key", "component", "n")
         .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("t"))
     )
@@ -519,9 +520,12 @@ def _rarest_in_common(sets: DataFrame, reps: DataFrame, percent: int) -> DataFra
     long = n - F.expr(f"({percent} * n + 99) div 100") + 1
     first = F.slice("t", F.lit(1), F.greatest(long - alone, F.lit(0)).cast("int"))
     placed = ranked.select(
-        "key", "component", "n", F.posexplode(first).alias("at", "token"),
-        (short - alone).alias("short"),
-    ).select("key", "component", "n", "token.h", (F.col("at") < F.col("short")).alias("short"))
+        "key", "component", "n", F.posexplode(first).alias("at", "token"), alone.alias("alone"),
+        short.alias("short"),
+    ).select(
+        "key", "component", "n", "token.h", (F.col("alone") + F.col("at")).alias("at"),
+        (F.col("alone") + F.col("at") < F.col("short")).alias("short"),
+    )
     placed = stored(placed, "prefixes")
     mixed = stored(
         placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -529,13 +533,16 @@ def _rarest_in_common(sets: DataFrame, reps: DataFrame, percent: int) -> DataFra
         "mixed",
     )
     own = stored(placed.join(maybe_broadcast(mixed, mixed.count(), 16), "h"), "prefixes")
-    one = own.where("short").select("h", F.col("key").alias("x"), F.col("component").alias("cx"),
-                                    F.col("n").alias("nx"))
-    other = own.select("h", F.col("key").alias("y"), F.col("component").alias("cy"),
-                       F.col("n").alias("ny"))
+    left = (F.col("n") - F.col("at")).alias("left")
+    one = own.where("short").select("h", "key", "component", "n", left).toDF(
+        "h", "x", "cx", "nx", "lx"
+    )
+    other = own.select("h", "key", "component", "n", left).toDF("h", "y", "cy", "ny", "ly")
+    # The first shingle in common leaves enough behind it on both sides.
     fits = (
         (F.col("cx") != F.col("cy")) & (100 * F.col("nx") >= percent * F.col("ny"))
         & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+        & ((100 + percent) * F.least("lx", "ly") >= percent * (F.col("nx") + F.col("ny")))
     )
     return one.join(other, "h").where(fits).select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
