@@ -10,6 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from speccurve import SpecCurveJob, spec_curve  # noqa: E402
 from workload import estimates, reports  # noqa: E402
@@ -54,12 +55,28 @@ def wide_job(designs) -> SpecCurveJob:
     )
 
 
+PRODUCTS = {"u1": "c_tax * x2", "u2": "c_cbal * c_tax", "u3": "x2 * x2", "u4": "c_tax * c_tax"}
+
+
+def widest_job() -> SpecCurveJob:
+    """Twelve optional controls, 4,096 models, 16 samples."""
+    return SpecCurveJob(
+        y="y", x="x",
+        test=("c_tax", "c_size", "c_sbal", "c_retail", "c_cbal", "x2", "y2", "z", *PRODUCTS),
+        designs=("no_absorb_cl_firm",), **ROLES,
+    )
+
+
 def main() -> None:
     spark = session()
     wide = ("no_absorb_robust", "no_absorb_cl_firm")
     runs = {
         "curve_12_models_4_designs": lambda: spec_curve(panel(spark, SF_DIR), default_job()),
         "curve_256_models_2_designs": lambda: spec_curve(panel(spark, SF_DIR), wide_job(wide)),
+        "curve_4096_models": lambda: spec_curve(
+            panel(spark, SF_DIR).withColumns({k: F.expr(v) for k, v in PRODUCTS.items()}),
+            widest_job(),
+        ),
     }
     for name in ("within_firm_cluster", "firm_time_designs", "two_way_clusters_nested",
                  "ind_region_time_designs", "singleton_removal", "median_split_by_none",
@@ -68,6 +85,8 @@ def main() -> None:
     for name in ("significance_table", "curve_by_coef", "run_lengths", "best_model",
                  "obs_statistics", "model_detail"):
         runs[name] = lambda q=reports.QUERIES[name]: q(spark, SF_DIR)
+    only = sys.argv[1:]
+    runs = {name: run for name, run in runs.items() if not only or name in only}
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds = {}
     for name, run in runs.items():
