@@ -497,8 +497,8 @@ def _rarest_in_common(sets: DataFrame, reps: DataFrame, percent: int) -> DataFra
     """
     sized = sets.join(reps.withColumnRenamed("rep", "key"), "key").select(
         # A repeated key may have several sets.
-        F.monotonically_increasing_id().alias("set"), "key", "component", F.size("h").cast("long").alias("n"),
-        "h",
+        F.monotonically_increasing_id().alias("set"), "key", "component",
+        F.size("h").cast("long").alias("n"), "h",
     )
     several = stored(
         sized.select("component", F.explode("h").alias("h")).groupBy("h").agg(
