@@ -430,13 +430,15 @@ def _finish(solved: DataFrame, tensors: DataFrame, finisher: Finisher, means: di
         finisher, means = shared.value
         models = models.drop(columns="block")
         models["kinds"], models["parts"] = None, None
-        if len(models) and len(parts):
+        sid = int(models["sid"].iloc[0]) if len(models) else None
+        # A sample without rows has no facts.
+        if sid in finisher.facts and len(parts):
             found = {
                 int(kind): np.vstack(own.sort_values("row")["part"].to_numpy())
                 for kind, own in parts.groupby("kind")
             }
             models["kinds"], models["parts"] = model_moments(
-                models, found, len(finisher.names), means.get(int(models["sid"].iloc[0]))
+                models, found, len(finisher.names), means.get(sid)
             )
         return next(iter(finisher([models])))
 
