@@ -68,10 +68,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from all documents but the first; a document of
-    nothing else goes with them."""
+    """Repeated lines and passages within and across lines go from all documents but
+    the first; a document of nothing else goes with them.  Null texts stay, equal
+    rows lose the same words, an empty table gives no rows."""
     cut = paragraphs.cut_repeats(docs, keep=("lang", "source", "n_chars"))
-    changed = F.size("removed") > 0
+    changed = (F.size("removed") > 0) | (F.size("spans") > 0)
     return (
         cut.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
         .withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")))

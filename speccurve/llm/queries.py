@@ -118,11 +118,12 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the long paragraphs that repeat an earlier one."""
+    """All documents without the lines and the windows of words that an earlier one has."""
     cut = paragraphs.cut_repeats(table(spark, sf_dir, "documents"))
     return cut.select(
-        "doc_id", "n_paragraphs", "n_shared", F.size("removed").cast("long").alias("n_removed"),
-        "removed", "first_docs", "text",
+        "doc_id", "n_paragraphs", "n_shared",
+        (F.size("removed") + F.size("spans")).cast("long").alias("n_removed"),
+        "removed", "first_docs", "spans", "span_docs", "text",
     )
 
 

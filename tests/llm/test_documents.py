@@ -1,5 +1,6 @@
 """The operators over documents, against plain definitions and edge cases."""
 
+import re
 import zlib
 
 import numpy as np
@@ -307,6 +308,57 @@ def test_chains_are_one_component(spark):
 
 
 def cut_by_brute_force(texts):
+    return windows_cut_by_brute_force(lines_cut_by_brute_force(texts))
+
+
+def windows_cut_by_brute_force(texts):
+    """Windows at the same anchors, compared by all pairs."""
+    size, places, grams = paragraphs.WINDOW, {}, {}
+    for key, text in texts.items():
+        w = brute.words((text or "").translate(brute.LOWER))
+        tokens = [zlib.crc32(x.encode()) for x in w]
+        marks = [gram_hash(tokens[i : i + 5]) for i in range(len(w) - size + 1)]
+        step = min(paragraphs.STEP, len(marks))
+        runs = [marks[i : i + step] for i in range(len(marks) - step + 1)] if marks else []
+        places[key] = sorted({i + run.index(min(run)) for i, run in enumerate(runs)})
+        for i in places[key]:
+            grams.setdefault(marks[i], []).append((key, i, tuple(w[i : i + size])))
+    sets = {
+        (key, i): brute.shingles(" ".join(w), 5)
+        for found in grams.values() if len(found) > 1 for key, i, w in found
+    }
+    first, out = brute.components(sets), {}
+    for key, text in texts.items():
+        dead = {j for (k, i), (other, _) in first.items() if k == key and other < key
+                for j in range(i, i + size)}
+        if not dead:
+            out[key] = text
+            continue
+        # Words with the white space behind them; a cut over a line end leaves one.
+        parts = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
+        left = text[: len(text) - len("".join(parts))]
+        for j, part in enumerate(parts):
+            if j not in dead:
+                left += part
+            elif "\n" in part and left and not left.endswith("\n"):
+                left += "\n"
+        out[key] = left
+    return out
+
+
+def gram_hash(tokens):
+    def scramble(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    h = 0
+    for token in tokens:
+        h = scramble(h ^ token)
+    return h
+
+
+def lines_cut_by_brute_force(texts):
     sets = {}
     for key, text in texts.items():
         for at, line in enumerate((text or "").split("\n")):
@@ -340,6 +392,55 @@ def test_passages_are_cut(corpus, docs, nothing):
     assert paragraphs.cut_repeats(nothing).count() == 0
 
 
+def shared_runs(texts, size):
+    """Runs of ``size`` words that several texts have."""
+    seen = {}
+    for key, text in texts.items():
+        w = brute.words((text or "").translate(brute.LOWER))
+        for i in range(len(w) - size + 1):
+            seen.setdefault(tuple(w[i : i + size]), set()).add(key)
+    return sum(len(keys) > 1 for keys in seen.values())
+
+
+def test_no_run_of_fifty_words_stays_twice(corpus):
+    """After exact near duplicates are out, over all documents."""
+    df, texts = corpus
+    first = brute.components({k: brute.shingles(t, 5) for k, t in texts.items()})
+    left = {k: t for k, t in texts.items() if first[k] == k}
+    kept = df.where(F.col("doc_id").isin(list(left)))
+    found = {k: r["text"] for k, r in by_key(paragraphs.cut_repeats(kept)).items()}
+    assert found == cut_by_brute_force(left)
+    before, after = shared_runs(left, 50), shared_runs(found, 50)
+    assert before > 500 and after <= 0.05 * before
+
+
+def test_passages_within_and_across_lines(spark):
+    draw = np.random.default_rng(5)
+    def noise(n):
+        return " ".join(f"n{x}" for x in draw.integers(0, 10**9, n))
+
+    wrapped = "\n".join(" ".join(PASSAGE.split()[i : i + 7]) for i in range(0, 60, 7))
+    alone = noise(400_000)
+    rows = [
+        (1, f"{noise(40)} {PASSAGE} {noise(40)}"), (2, f"{noise(90)} {PASSAGE.upper()}"),
+        (3, f"{noise(9)}\n{wrapped}\n{noise(9)}"), (4, alone), (5, noise(100)),
+        (6, f"{alone} {noise(3)}\n{PASSAGE} {noise(70)}"), (7, None), (8, ""), (8, "two"),
+        (None, PASSAGE),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("x"))
+    found = {(r["doc_id"], r["n_paragraphs"]): r for r in paragraphs.cut_repeats(df).collect()}
+    text = {k: r["text"] for k, r in found.items()}
+    assert text[1, 1] == rows[0][1] and text[4, 1] == alone and text[5, 1] == rows[4][1]
+    assert found[1, 1]["n_shared"] and found[4, 1]["n_shared"] and not found[5, 1]["n_shared"]
+    for key, n in ((2, 1), (3, 11), (6, 2)):
+        assert found[key, n]["spans"] or found[key, n]["removed"]
+        left = [w for w in brute.words(text[key, n].lower()) if w.startswith("passage")]
+        assert len(left) <= 2 * (paragraphs.STEP - 1)
+    assert brute.words(text[3, 11])[:9] == rows[2][1].split()[:9]
+    assert brute.words(text[3, 11])[-9:] == rows[2][1].split()[-9:]
+    assert text[7, 0] is None and text[8, 1] in ("", "two") and text[None, 1] == PASSAGE
+
+
 def test_bands_reach_the_recall():
     for similarity in (0.5, 0.8, 0.95):
         bands, rows = paragraphs.tune(similarity, 0.999)
