@@ -323,11 +323,16 @@ def windows_cut_by_brute_force(texts):
         places[key] = sorted({i + run.index(min(run)) for i, run in enumerate(runs)})
         for i in places[key]:
             grams.setdefault(marks[i], []).append((key, i, tuple(w[i : i + size])))
+    classes, out = {}, {}
+    for found in grams.values():
+        for key, i, w in found:
+            classes.setdefault(w, []).append((key, i))
     sets = {
-        (key, i): brute.shingles(" ".join(w), 5)
-        for found in grams.values() if len(found) > 1 for key, i, w in found
+        min(classes[w]): brute.shingles(" ".join(w), 5)
+        for found in grams.values() if len({w for *_, w in found}) > 1 for *_, w in found
     }
-    first, out = brute.components(sets), {}
+    of_class = brute.components(sets)
+    first = {at: of_class.get(min(ats), min(ats)) for ats in classes.values() for at in ats}
     for key, text in texts.items():
         dead = {j for (k, i), (other, _) in first.items() if k == key and other < key
                 for j in range(i, i + size)}
