@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speccurve.job import SpecCurveJob
-from speccurve.operators.scale import attach, positions
+from speccurve.operators.scale import attach, cached, durable, positions
 from speccurve.plans.curve import Focus, run
 
+# Shares of rows on both sides of the middle that are put in order, and the
+# accuracy of the percentiles around them: a rank is off by 1/accuracy at most.
+BAND, PERCENTILE_ACCURACY = 0.0005, 10_000
+
 
 def grouping_label(variable: str, scope: str) -> str:
     return f"{variable}[{scope}]"
@@ -22,16 +26,46 @@ def median_split(
     """0 for the lower and 1 for the upper half of each part, in ``order``; the
     extra row of an odd part goes to the lower half.
 
-    The place of a row comes from :func:`positions`, which spreads one large
-    part over many tasks.
+    The first column of ``order``, a number, decides for all rows but those near
+    the middle: approximate percentiles give a band around it, exact counts tell
+    whether the middle is in it, and only the rows of the band are put in order.
+    A part whose band misses the middle is ordered as a whole.  The place of a
+    row comes from :func:`positions`, which spreads one large part over many tasks.
     """
-    sizes = rows.groupBy(*part).agg(F.count("*").alias("n_rows"))
-    sizes = sizes.withColumn("_half", F.expr("(n_rows + 1) div 2"))
-    placed = positions(rows, part, order, "_pos")
-    joined = attach(placed, sizes, part, sizes.count())
-    return joined.withColumn(out, (F.col("_pos") >= F.col("_half")).cast("int")).drop(
-        "_pos", "_half"
+    rows = cached(rows.withColumn("_lead", order[0]))
+    middle = F.percentile_approx("_lead", [0.5 - BAND, 0.5 + BAND], PERCENTILE_ACCURACY)
+    bands = durable(
+        rows.groupBy(*part).agg(F.count("*").alias("n_rows"), middle.alias("_band")).select(
+            *part, "n_rows", F.expr("(n_rows + 1) div 2").alias("_half"),
+            F.col("_band")[0].alias("_lo"), F.col("_band")[1].alias("_hi"),
+        )
+    )
+    n_parts = bands.count()
+    # Missing values come first.
+    under = F.col("_lead").isNull() | (F.col("_lead") < F.col("_lo"))
+    over = F.col("_lead") > F.col("_hi")
+    counts = attach(rows.select(*part, "_lead"), bands, part, n_parts).groupBy(*part).agg(
+        F.count("*").alias("n_rows"), F.first("_half").alias("_half"),
+        F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
+        F.sum(under.cast("long")).alias("_under"),
+        F.sum(F.coalesce(over, F.lit(False)).cast("long")).alias("_over"),
+    )
+    inside = (F.col("_under") <= F.col("_half")) & (
+        F.col("n_rows") - F.col("_over") >= F.col("_half")
+    )
+    counts = durable(
+        counts.withColumn("_inside", inside).withColumn(
+            "_under", F.when(F.col("_inside"), F.col("_under")).otherwise(0)
+        ).drop("_over")
     )
+    side = F.when(F.col("_inside") & under, 0).when(F.col("_inside") & over, 1)
+    told = attach(rows, counts, part, n_parts).withColumn(out, side)
+    helpers = ["_lead", "_half", "_lo", "_hi", "_under", "_inside"]
+    placed = positions(told.where(F.col(out).isNull()), part, order, "_pos")
+    near = placed.withColumn(
+        out, (F.col("_pos") + F.col("_under") >= F.col("_half")).cast("int")
+    ).drop("_pos")
+    return told.where(F.col(out).isNotNull()).unionByName(near).drop(*helpers)
 
 
 @dataclass(frozen=True)

@@ -549,7 +549,9 @@ for _name, _part in (("ind_time", ["ind", "tm"]), ("time", ["tm"]), ("none", [])
         WITH_PANEL + _split_sql(", ".join(_part), "".join(f"{c}, " for c in _part)),
     )
     def split(spark, sf_dir, part=_part):
-        rows = panel(spark, sf_dir).where("z IS NOT NULL").withColumn("sid", F.lit(0))
+        rows = panel(spark, sf_dir).where("z IS NOT NULL").select(
+            F.lit(0).alias("sid"), *_TIES.split(", ")
+        )
         order = [F.col(c) for c in _TIES.split(", ")]
         halves = median_split(rows, ["sid", *part], order)
         return halves.groupBy(*part, "half").agg(
