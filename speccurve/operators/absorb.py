@@ -69,7 +69,7 @@ def absorb(
     for k in rest:
         rows = rows.withColumn(f"i{k}", F.col(f"f{k}") + F.lit(offset))
         offset += coded[k]
-    effects = durable(_sweep(rows, main, rest, values, n_levels, len(facts)))
+    effects = durable(_sweep(rows, main, rest, values, n_levels))
     # The level graph is a star around the first effect, see README.
     if main == 0 or n_effects == 2:
         parts = effects.where("level < 0").select("sid", F.element_at("effect", 1)).collect()
@@ -100,7 +100,7 @@ def _subtract(rows: DataFrame, means: DataFrame, keys, values, n_levels: int) ->
 
 
 def _sweep(
-    rows: DataFrame, main: int, rest, values, n_levels: int, n_samples: int
+    rows: DataFrame, main: int, rest, values, n_levels: int
 ) -> DataFrame:
     """Level effects of the minor effects, exactly and without iterating.
 
@@ -158,7 +158,7 @@ def _sweep(
             )
 
     partials = blocks.mapInArrow(partial, "sid long, level long, part array<double>")
-    equations = sum_arrays(partials, ["sid", "level"], "part", n_samples * n_levels, width)
+    equations = sum_arrays(partials, ["sid", "level"], "part")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         levels = pdf["level"].to_numpy()

@@ -59,3 +59,41 @@ def component_counts(rows: DataFrame, n_effects: int) -> DataFrame:
         state = jumped
         if not moved:
             return state.groupBy("sid").agg(F.countDistinct("label").alias("components"))
+
+
+def across(cells: DataFrame, table: DataFrame, here: str, there: str, parts: int):
+    """The rows of ``table``, one for each level ``here``, brought to the levels
+    ``there`` and grouped by them.  ``cells`` are dealt over ``parts`` tasks by
+    ``here``; the groups are by ``there``."""
+    met = cells.join(table.hint("shuffle_hash"), here).drop(here)
+    return met.repartition(parts, there).groupBy(there)
+
+
+def linked_counts(
+    by_here: DataFrame, by_there: DataFrame, here: str, there: str, ids: DataFrame, parts: int
+) -> dict[int, int]:
+    """Components per sample of a graph of two effects whose cells are dealt by
+    the level of either (``by_here``, ``by_there``); ``ids`` is sid, i: the
+    numbers of the levels ``here``.
+
+    Smallest-label propagation as in :func:`component_counts`; only labels are
+    shuffled.
+    """
+    state = durable(ids.withColumn("label", F.col("i")).repartition(parts, "i"))
+    while True:
+        own = state.select(F.col("i").alias(here), "label")
+        low = across(by_here, own, here, there, parts).agg(F.min("label").alias("label"))
+        fresh = across(by_there, low, there, here, parts).agg(F.min("label").alias("low"))
+        fresh = fresh.withColumnRenamed(here, "i").hint("shuffle_hash")
+        fresh = durable(state.join(fresh, "i"))
+        parent = fresh.select(F.col("i").alias("low"), F.col("low").alias("up"))
+        jumped = durable(
+            fresh.join(parent.hint("shuffle_hash"), "low").select(
+                "sid", "i", F.least("low", "up").alias("new"),
+                (F.least("low", "up") < F.col("label")).alias("moved"),
+            ).repartition(parts, "i")
+        )
+        state = jumped.select("sid", "i", F.col("new").alias("label"))
+        if not jumped.where("moved").limit(1).count():
+            counts = state.groupBy("sid").agg(F.countDistinct("label").alias("n"))
+            return {r["sid"]: r["n"] for r in counts.collect()}

@@ -85,8 +85,7 @@ def lattice_sums(
                 _cluster_work(kind, words, masks_array, width), TENSOR_SCHEMA
             )
             keys = ["sid", "kind", "row"]
-            added = sum_arrays(parts, keys, "part", len(masks) * (width + 1), width)
-            union = union.unionByName(added)
+            union = union.unionByName(sum_arrays(parts, keys, "part"))
     return union
 
 
@@ -126,8 +125,7 @@ def _row_tensors(panel: Panel, words, n_vars: int, width: int) -> DataFrame:
     schema = ", ".join(f"{w} long" for w in words) + ", kind long, row long, part array<double>"
     parts = panel.rows.select(*words, *names).mapInArrow(partial, schema)
     keys = [*words, "kind", "row"]
-    # Patterns that occur are few beside rows; their number only spreads the work.
-    return sum_arrays(parts, keys, "part", 64 * width, width)
+    return sum_arrays(parts, keys, "part")
 
 
 def _cluster_work(kind: int, words, masks: np.ndarray, width: int):

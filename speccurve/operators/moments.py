@@ -139,8 +139,7 @@ def score_tensors(
             work = _squares(kind, len(row), names, lambda x: x)
         one = source.mapInArrow(work, TENSOR_SCHEMA)
         union = one if union is None else union.unionByName(one)
-    n_keys = max(1, n_samples) * len(kinds) * len(row)
-    return sum_arrays(union, ["sid", "kind", "row"], "part", n_keys, len(row))
+    return sum_arrays(union, ["sid", "kind", "row"], "part")
 
 
 def score_loads(

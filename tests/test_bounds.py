@@ -1,5 +1,6 @@
 """What a step may hold, order or shuffle, however large its table."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,3 +31,23 @@ def test_median_split_orders_the_middle_only(spark, monkeypatch, accuracy):
     want = dict(zip(data["id"], (data["pos"] >= (size + 1) // 2).astype(int)))
     assert got == want
     assert accuracy == 1 or ordered[0] < 0.25 * 4001
+
+
+def test_sums_of_arrays_hold_one_batch(spark):
+    """As many partial arrays as tasks: none of them wait in a task together."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        frame = spark.range(0, 3000, 1, 24).select(
+            (F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b"),
+            F.array(*[(F.col("id") * w).cast("double") for w in (1, 2, 3)]).alias("part"),
+        )
+        found = scale.sum_arrays(frame, ["a", "b"], "part")
+        got = {(r["a"], r["b"]): r["part"] for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ids = np.arange(3000)
+    for key, part in got.items():
+        total = ids[(ids % 3 == key[0]) & (ids % 2 == key[1])].sum()
+        assert part == [total, 2 * total, 3 * total]
+    assert len(got) == 6 and "FlatMapGroupsInPandas" not in plan
