@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from speccurve.operators import scale
+from speccurve.operators import absorb, scale
+from speccurve.operators.components import connected_components, linked_counts
 from speccurve.plans import hetero
 
 
@@ -51,3 +52,29 @@ def test_sums_of_arrays_hold_one_batch(spark):
         total = ids[(ids % 3 == key[0]) & (ids % 2 == key[1])].sum()
         assert part == [total, 2 * total, 3 * total]
     assert len(got) == 6 and "FlatMapGroupsInPandas" not in plan
+
+
+def test_products_of_two_effects_deal_sums_only(spark):
+    """Cells dealt by either effect give the products and components of the general way."""
+    values = ["v0"]
+    rows = spark.range(300).select(
+        F.lit(0).cast("long").alias("sid"), (F.col("id") % 40).alias("f0"),
+        (F.col("id") % 40 % 2 + 2 * F.pmod(F.hash("id"), F.lit(12))).alias("f1"),
+        F.rand(1).alias("v0"),
+    )
+    cells, levels = absorb._numbered_cells(rows, 2, values)
+    sizes = {k: table.count() for k, table in levels.items()}
+    state = levels[1].select(
+        "sid", F.lit(1).alias("k"), F.col("i1").alias("i"), "n_rows",
+        (F.col("f1") * F.col("f1")).cast("double").alias("pv0"),
+    )
+    found, pair = {}, absorb._PairEquations(cells, 0, [1], values, sizes)
+    for equations in (absorb._LevelEquations(cells, 0, [1], values, sizes), pair):
+        product = equations.times(state, "p").collect()
+        found[type(equations)] = [r["v0"] for r in sorted(product, key=lambda r: r["i"])]
+    one, other = found.values()
+    assert len(one) == sizes[1] and np.allclose(one, other)
+    ids = levels[1].select("sid", F.col("i1").alias("i"))
+    parts = linked_counts(pair.by_here, pair.by_there, "i1", "i0", ids, pair.parts)
+    assert parts == connected_components(rows, 2) == {0: 2}
+    pair.close()
