@@ -105,20 +105,37 @@ def _evidence(df: DataFrame, text: str, others: list[str], model: np.ndarray) ->
     return map_texts(df, [*others, text], schema, start)
 
 
-def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    exps = [F.exp(s - top) for s in scores]
-    total = reduce(lambda a, b: a + b, exps)
-    return [e / total for e in exps]
+# Each step below is a projection of its own: an expression that names another one
+# several times would hold as many copies of it, and copies of copies.
 
 
-def _smoothed(counts: list[str], parents: list[Column], own: list[Column]) -> list[Column]:
-    """Shares of the languages in a group without the document itself, drawn
-    towards those of the parent."""
-    rest = [F.greatest(F.coalesce(F.col(c), F.lit(0.0)) - o, F.lit(0.0))
-            for c, o in zip(counts, own, strict=True)]
-    total = reduce(lambda a, b: a + b, rest)
-    return [(r + PARENT * p) / (total + PARENT) for r, p in zip(rest, parents, strict=True)]
+def _softmax(rows: DataFrame, scores: list[str], names: list[str]) -> DataFrame:
+    """``rows`` with the columns ``names``: the shares of exp of the columns ``scores``."""
+    each = range(len(scores))
+    top = F.greatest(*scores) if len(scores) > 1 else F.col(scores[0])
+    rows = rows.withColumn("_top", top)
+    rows = rows.withColumns({f"_e{k}": F.exp(F.col(scores[k]) - F.col("_top")) for k in each})
+    rows = rows.withColumn("_total", reduce(lambda a, b: a + b, [F.col(f"_e{k}") for k in each]))
+    rows = rows.withColumns({names[k]: F.col(f"_e{k}") / F.col("_total") for k in each})
+    return rows.drop("_top", "_total", *[f"_e{k}" for k in each])
+
+
+def _smoothed(
+    rows: DataFrame, counts: list[str], parents: list[Column], own: list[Column], names: list[str]
+) -> DataFrame:
+    """``rows`` with the columns ``names``: shares of the languages in a group without
+    the document itself, drawn towards those of the parent."""
+    each = range(len(counts))
+    rows = rows.withColumns(
+        {f"_r{k}": F.greatest(F.coalesce(F.col(counts[k]), F.lit(0.0)) - own[k], F.lit(0.0))
+         for k in each}
+    )
+    rows = rows.withColumn("_total", reduce(lambda a, b: a + b, [F.col(f"_r{k}") for k in each]))
+    rows = rows.withColumns(
+        {names[k]: (F.col(f"_r{k}") + PARENT * parents[k]) / (F.col("_total") + PARENT)
+         for k in each}
+    )
+    return rows.drop("_total", *[f"_r{k}" for k in each])
 
 
 def identify(
@@ -175,14 +192,17 @@ def identify(
     kept = [f"k{i}" for i in range(len(keep) + 1)]
     seen = _evidence(named, "t", [*kept, "declared", "suffix", "host"], model)
     weight = F.lit(float(EVIDENCE)) / F.greatest(F.col("n_triples"), F.lit(EVIDENCE))
-    scores = [F.get("ll", F.lit(k)) * weight for k in range(len(languages))]
-    seen = seen.withColumns(
-        {f"t{k}": F.when(F.col("n_triples") > 0, p).otherwise(0.0)
-         for k, p in enumerate(_softmax(scores))}
-    ).withColumns({f"s{k}": s for k, s in enumerate(scores)})
+    each = range(len(languages))
+
+    def names(prefix: str) -> list[str]:
+        return [f"{prefix}{k}" for k in each]
+
+    seen = seen.withColumns({f"s{k}": F.get("ll", F.lit(k)) * weight for k in each})
+    seen = _softmax(seen, names("s"), names("t")).withColumns(
+        {t: F.when(F.col("n_triples") > 0, F.col(t)).otherwise(0.0) for t in names("t")}
+    )
     seen = stored(seen.drop("ll"), "evidence")
 
-    each = range(len(languages))
     own = [F.col(f"t{k}") for k in each]
 
     def sums(by: list[str], prefix: str) -> DataFrame:
@@ -202,26 +222,31 @@ def identify(
     rows = seen
     for by, prefix in (("declared", "d"), ("suffix", "x"), ("host", "h")):
         rows = attach(rows, by, prefix)
-    by_suffix = _smoothed([f"x{k}" for k in each], flat, own)
-    by_host = _smoothed([f"h{k}" for k in each], by_suffix, own)
+    rows = _smoothed(rows, names("x"), flat, own, names("by_suffix"))
+    by_suffix = [F.col(c) for c in names("by_suffix")]
+    rows = _smoothed(rows, names("h"), by_suffix, own, names("by_host"))
 
     def given(prefix: str, k: int) -> Column:
         """How likely this value is under language k, up to a common factor."""
         said = F.greatest(F.coalesce(F.col(f"{prefix}{k}"), F.lit(0.0)) - own[k], F.lit(0.0))
         return F.when(F.col(f"{prefix}{k}").isNull(), 0.0).otherwise(F.log((said + 1) / total[k]))
 
-    joint = [
-        F.log(by_host[k]) + given("d", k) + given("x", k)
-        + F.when(F.col("n_triples") > 0, F.col(f"s{k}")).otherwise(0.0)
-        for k in each
-    ]
-    judged = rows.select(
-        *kept, "n_triples", F.array(*_softmax(joint)).alias("p")
+    rows = rows.withColumns(
+        {
+            f"j{k}": F.log(F.col(f"by_host{k}")) + given("d", k) + given("x", k)
+            + F.when(F.col("n_triples") > 0, F.col(f"s{k}")).otherwise(0.0)
+            for k in each
+        }
+    )
+    judged = _softmax(rows, names("j"), names("p")).select(
+        *kept, "n_triples", F.array(*names("p")).alias("p")
     ).withColumn("posterior", F.array_max("p"))
-    names = F.array(*map(F.lit, languages))
-    return judged.select(
+    known = F.array(*map(F.lit, languages))
+    judged = judged.select(
         F.col("k0").alias(key), *[F.col(f"k{i + 1}").alias(c) for i, c in enumerate(keep)],
-        F.get(names, (F.array_position("p", F.col("posterior")) - 1).cast("int")).alias("language"),
+        F.get(known, (F.array_position("p", F.col("posterior")) - 1).cast("int")).alias("language"),
         "posterior",
         ((F.col("n_triples") > 0) & (F.col("posterior") >= ACCEPTED)).alias("accepted"),
     )
+    # A filter by ``accepted`` on top would be pushed below every step, each put into the next.
+    return stored(judged, "judged")

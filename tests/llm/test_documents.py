@@ -548,3 +548,11 @@ def test_language_edges(spark, docs, nothing):
     assert language.identify(nothing).count() == 0
     unlabelled = language.identify(docs, labelled=docs.where("lang = 'none'")).collect()
     assert all(r["language"] is None and not r["accepted"] for r in unlabelled)
+
+
+def test_language_terms_are_not_copied(spark, docs):
+    """A filter on the result holds no copies of the terms of the posterior."""
+    rows = language.identify(docs, declared=F.col("lang"), host=F.col("source"))
+    plan = rows.where("NOT accepted")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("exp(") <= 8
+    assert len(plan) < 20_000
