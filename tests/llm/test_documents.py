@@ -1,6 +1,7 @@
 """The operators over documents, against plain definitions and edge cases."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -556,3 +557,33 @@ def test_language_terms_are_not_copied(spark, docs):
     plan = rows.where("NOT accepted")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("exp(") <= 8
     assert len(plan) < 20_000
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from speccurve.llm import common
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        names = (found.apply(i).getName() for i in range(found.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    known, before = files(), spark.conf.get(common._CLEANED)
+    table = common.stored(spark.range(5000).groupBy("id").count(), "x")
+    for _ in range(50):  # they are deleted behind the query
+        if not files() - known:
+            break
+        time.sleep(0.1)
+    assert not files() - known
+    assert table.count() == 5000 and spark.conf.get(common._CLEANED) == before
+
+
+def test_texts_are_anchored_together_as_alone():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, n)).encode()
+             for n in (0, 1, 29, 30, 31, 48, 49, 50, 400, 0, 70)]
+    who, *found = paragraphs.anchors_of(texts)
+    for i, text in enumerate(texts):
+        for one, every in zip(paragraphs.anchors(text), found, strict=True):
+            assert one.tolist() == every[who == i].tolist()
