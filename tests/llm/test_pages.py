@@ -100,3 +100,85 @@ def test_articles_of_the_table(spark, sf_dir):
         parts = re.split(r"</?p>|</?h1>", inner.replace("<br>", " "))
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in parts]
         assert found[row["page_id"]] == "\n\n".join(filter(None, parts))
+
+
+def in_article(blocks, furniture="<nav>a b c d e f g</nav>"):
+    return f"{furniture}<article>{''.join(f'<p>{b}</p>' for b in blocks)}</article>"
+
+
+def cut_by_brute_force(articles):
+    """Of one host's articles (lists of blocks): every run of LONG tokens, and every
+    block, held by PAGES distinct articles goes, unless that is most of an article."""
+    long, out = html_text.LONG, []
+    tokens = [[t for b in blocks for t in ("\n", *b.split(" "))] for blocks in articles]
+    runs = [{tuple(t[i : i + long]) for i in range(len(t) - long + 1)} for t in tokens]
+    for k, blocks in enumerate(articles):
+        t, gone, lost, kept = tokens[k], set(), 0, []
+        for i in range(len(t) - long + 1):
+            if sum(tuple(t[i : i + long]) in x for x in runs) >= html_text.PAGES:
+                gone |= set(range(i, i + long))
+        at = 0
+        for block in blocks:
+            n = len(block.split(" "))
+            if n >= html_text.RUN and sum(block in x for x in articles) >= html_text.PAGES:
+                gone |= set(range(at, at + n + 1))
+            at += n + 1
+        gone -= {i for i, x in enumerate(t) if x == "\n"}
+        if 2 * len(gone) >= len(t) - len(blocks):
+            gone = set()
+        at = 0
+        for block in blocks:
+            n = len(block.split(" "))
+            left = [t[i] for i in range(at + 1, at + n + 1) if i not in gone]
+            at, lost = at + n + 1, lost + (len(left) < n)
+            if left:
+                kept.append(" ".join(left))
+        out.append(("\n\n".join(kept), lost))
+    return out
+
+
+def test_repeats_inside_articles(spark):
+    """What many pages of a host have inside their articles goes from them."""
+    from random import Random
+
+    draw = Random(4)
+
+    def words(n):
+        return " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+
+    offer, notice, edge = words(11), words(45), words(html_text.LONG)
+    almost, rare = words(html_text.LONG - 1), words(40)
+    articles = []
+    for i in range(8):
+        blocks = [words(60), f"{words(20)} {notice} {words(15)}", words(50), words(4)]
+        blocks[2] += f" {edge if i < 3 else almost} {words(3)}"
+        if i % 2:
+            blocks.insert(draw.randrange(4), offer)
+        if i < 2:
+            blocks.append(f"{words(9)} {rare}")
+        articles.append(blocks)
+    # Across the border of two blocks, and near copies of one page.
+    across = words(50).split(" ")
+    for blocks in articles[4:8]:
+        blocks.append(f"{words(30)} {' '.join(across[:25])}")
+        blocks.append(f"{' '.join(across[25:])} {words(30)}")
+    copy = words(200)
+    copies = [[copy, f"other{i}"] for i in range(3)]
+    hosts = {"a": articles, "b": articles[:2], "c": copies, "d": [articles[0]] * 4}
+    rows = [
+        (100 * k + i, f"http://{host}.example/{i}", in_article(blocks))
+        for k, (host, pages) in enumerate(hosts.items()) for i, blocks in enumerate(pages)
+    ]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {r["page_id"]: (r["text"], r["n_boilerplate"])
+             for r in html_text.main_text(table).collect()}
+    want = cut_by_brute_force(articles)
+    for i in range(8):
+        assert found[i] == want[i], i
+    assert not any(offer in text or notice in text or edge in text for text, _ in want)
+    assert all(almost in text for text, _ in want[3:]) and all(rare in t for t, _ in want[:2])
+    # On two pages only, on near copies, on equal pages: nothing goes.
+    for k, host in enumerate("bcd", 1):
+        assert [found[100 * k + i] for i in range(len(hosts[host]))] == [
+            ("\n\n".join(x), 0) for x in hosts[host]
+        ]
