@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speccurve.deploy import ship
-from speccurve.operators.scale import cached
+from speccurve.operators.scale import dropped, durable
 
 WORD_BITS = 62
 SPREAD_ROWS = 200_000
@@ -95,7 +95,7 @@ def prepare(
     made = {name: number(panel, a) * number(panel, b) for name, a, b in products}
     names = list(variables) + list(made)
     columns = [made.get(n, None) if n in made else number(panel, n) for n in names]
-    source = cached(
+    source = durable(
         panel.select(
             *[c.alias(f"v{i}") for i, c in enumerate(columns)],
             *[present(panel, n).alias(f"k{i}") for i, n in enumerate(keys)],
@@ -116,9 +116,8 @@ def prepare(
     workers = panel.sparkSession.sparkContext.defaultParallelism
     if stats["parts"] < workers and total > SPREAD_ROWS:
         # A few big input splits would leave cores idle in every later step.
-        spread = cached(source.repartition(workers))
-        spread.count()
-        source.unpersist()
+        spread = durable(source.repartition(workers))
+        dropped(source)
         source = spread
     holed = [n for i, n in enumerate(names) if stats[f"n{i}"] < total]
     holed += [n for i, n in enumerate(keys) if stats[f"k{i}"] < total and n not in holed]

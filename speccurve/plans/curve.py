@@ -18,7 +18,7 @@ from speccurve.operators.lattice import lattice_samples, samples_at_once
 from speccurve.operators.moments import gram_matrices, model_moments, score_tensors
 from speccurve.operators.panel import Panel, prepare
 from speccurve.operators.samples import Facts, expand, settle
-from speccurve.operators.scale import cached, durable
+from speccurve.operators.scale import cached, dropped, durable
 from speccurve.operators.solve import (
     RESULT_SCHEMA,
     SOLVED_SCHEMA,
@@ -118,7 +118,7 @@ def run(
             else:
                 part = _wave(prepared, job, focus, absorption, models, wave, split)
             done = part if done is None else done.unionByName(part)
-    prepared.source.unpersist()
+    dropped(prepared.source)
     if done is None:
         extra = ", group_value int" if split else ""
         return spark.createDataFrame([], RESULT_SCHEMA + extra)
@@ -255,8 +255,8 @@ def _summed(panel, job, focus, absorption, models, masks) -> DataFrame:
         panel, job, focus, setup, absorption.designs, facts, grams, {}, set(), False
     )
     result = durable(_finish(solved, tensors, finisher, means))
-    for held in (solved, table):
-        held.unpersist()
+    solved.unpersist()
+    dropped(table)
     return result
 
 

@@ -28,7 +28,6 @@ def null_patterns(panel: DataFrame, job: SpecCurveJob) -> DataFrame:
         hit = F.col(f"p{word}").bitwiseAND(F.lit(mask[word]).cast("long")) != 0
         flags.append(F.when(hit, F.lit(name)))
     missing = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
-    prepared.source.unpersist()
     return prepared.rows.groupBy(missing.alias("missing")).agg(F.count("*").alias("rows"))
 
 
@@ -50,7 +49,6 @@ def _settled(panel: DataFrame, job: SpecCurveJob):
                         every, setup.n_effects, setup.cluster_ids, [], drop
                     )
                     yield prepared, setup, designs, models, wave, rows, facts
-    prepared.source.unpersist()
 
 
 def sample_report(panel: DataFrame, job: SpecCurveJob) -> DataFrame:

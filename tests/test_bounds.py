@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from speccurve.operators import absorb, scale
+from speccurve.operators import absorb, lattice, scale
 from speccurve.operators.components import connected_components, linked_counts
+from speccurve.operators.panel import prepare
 from speccurve.plans import hetero
 
 
@@ -78,3 +79,75 @@ def test_products_of_two_effects_deal_sums_only(spark):
     parts = linked_counts(pair.by_here, pair.by_there, "i1", "i0", ids, pair.parts)
     assert parts == connected_components(rows, 2) == {0: 2}
     pair.close()
+
+
+def gappy_panel(spark):
+    """900 rows; cluster 0 has a third of them, some clusters one."""
+    a = F.pmod(F.hash("id"), F.lit(60))
+    return spark.range(0, 900, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(a * F.when(a < 50, 1).otherwise(1000 + F.col("id")))
+        .alias("a"),
+        F.when(F.col("id") % 97 != 0, (F.col("id") % 2).cast("string")).alias("b"),
+        *[F.when(F.pmod(F.hash("id", F.lit(j)), F.lit(5)) > 0, 100 * j + F.rand(j)).alias(f"x{j}")
+          for j in range(2)],
+        (F.rand(7) + F.col("id") % 7).alias("x2"),
+    )
+
+
+def products(cluster, centred):
+    data = cluster[["v0", "v1", "v2"]].to_numpy()
+    if centred:
+        data = data - data.mean(axis=0)
+    else:
+        data = np.column_stack([np.ones(len(data)), data])
+    row, col = np.triu_indices(data.shape[1])
+    return (data.T @ data)[row, col]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("term, centred", [(("a",), True), (("a", "b"), False)])
+def test_clusters_deal_rows_and_no_products(spark, monkeypatch, hot, term, centred):
+    """Clusters that reach over batches, and large ones by sums where they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    if hot:
+        monkeypatch.setattr(lattice, "HOT_LEVEL_ROWS", 200)
+    try:
+        panel = prepare(gappy_panel(spark), ["x0", "x1", "x2"], ["a", "b"])
+        masks = [panel.mask(["b"]), panel.mask(["b", "x0"]), panel.mask(["b", "x0", "x1"])]
+        table = lattice._cluster_tensors(
+            panel, np.array(masks), 1, {"c0": panel.key(term)}, centred
+        )
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        found = {}
+        for r in table.collect():
+            found.setdefault(r["sid"], {})[r["row"]] = r["part"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ("Aggregate" in plan) == hot
+    rows = panel.rows.toPandas()
+    for sid, mask in enumerate(masks):
+        own = rows[(rows["p0"] & mask[0]) == 0]
+        clusters = [c for _, c in own.groupby([f"k{'ab'.index(t)}" for t in term])]
+        flat = np.array([products(c, centred) for c in clusters])
+        got = np.array([found[sid][i] for i in range(len(found[sid]))])
+        width = flat.shape[1]
+        assert np.allclose(got[:width], flat.T @ flat, atol=1e-8)
+        sizes = np.array([len(c) for c in clusters])
+        if centred:
+            assert np.allclose(got[width], flat.sum(axis=0), atol=1e-9)
+            assert got[width + 1][:3].tolist() == [len(own), (sizes == 1).sum(), len(sizes)]
+            assert (sizes == 1).any() and len(got) == width + 2
+        else:
+            assert got[width][0] == len(sizes) and len(got) == width + 1
+
+
+def test_stored_rounds_can_be_deleted(spark):
+    """Files, which a session can delete before it ends, and not a checkpoint."""
+    table = scale.durable(spark.range(5).repartition(2))
+    files = table.inputFiles()
+    assert files and table.count() == 5
+    scale.dropped(table)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0])
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert not system.exists(path.getParent())
+    assert scale.durable(spark.sql("SELECT null AS a, 1 AS b")).collect()[0]["b"] == 1
