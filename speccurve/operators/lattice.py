@@ -335,3 +335,28 @@ def lattice_samples(
             means[sid] = full[0, 1:] / n
             grams[sid] = full[1:, 1:] - n * np.outer(means[sid], means[sid])
     return table.where((F.col("kind") != PLAIN) & (F.col("row") < width)), facts, grams, means, table
+
+
+def level_samples(panel: Panel, masks: list[tuple[int, ...]], kind: int, term: tuple[str, ...]):
+    """For one effect that is the cluster too, its means taken out: score tensors,
+    the cross-products per sample, and the facts with and without singletons."""
+    width = len(triangle(len(panel.variables))[0])
+    masks_array = np.array(masks, np.int64).reshape(len(masks), panel.words)
+    table = durable(
+        _cluster_tensors(panel, masks_array, kind, {"c0": panel.key(term)}, True)
+    )
+    row, col = triangle(len(panel.variables))
+    kept, dropped_, grams = {}, {}, {}
+    for found in table.where(F.col("row") >= width).collect():
+        sid, part = found["sid"], np.array(found["part"])
+        if found["row"] == width:
+            grams[sid] = np.zeros((len(panel.variables),) * 2)
+            grams[sid][row, col] = grams[sid][col, row] = part
+            continue
+        n, lone, levels = (round(x) for x in part[:3])
+        # As in ``settle``, a row that is all of its sample stays.
+        for facts, gone in ((kept, 0), (dropped_, lone if n > 1 else 0)):
+            if n > gone:
+                left = levels - gone
+                facts[sid] = Facts(n - gone, {0: left}, {(0,): left}, {(0, 0)})
+    return table.where(F.col("row") < width), grams, kept, dropped_, table

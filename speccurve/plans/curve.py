@@ -14,7 +14,7 @@ from speccurve.catalog import Design
 from speccurve.job import SpecCurveJob
 from speccurve.operators.absorb import absorb
 from speccurve.operators.grid import pair_grid
-from speccurve.operators.lattice import lattice_samples, samples_at_once
+from speccurve.operators.lattice import lattice_samples, level_samples, samples_at_once
 from speccurve.operators.moments import gram_matrices, model_moments, score_tensors
 from speccurve.operators.panel import Panel, prepare
 from speccurve.operators.samples import Facts, expand, settle
@@ -106,15 +106,17 @@ def run(
         if absorption.needs not in grids:
             grids[absorption.needs] = model_table(spark, job, prepared, focus, absorption.needs)
         models, masks = grids[absorption.needs]
-        # Without effects the rows are read once for many samples, see lattice.
-        summed = not absorption.fe and split is None
+        # Without effects the rows are read once for many samples, see lattice; with
+        # one effect that every design is clustered by, too.
+        own = len(absorption.fe) == 1 and all(d.clusters == absorption.fe for d in absorption.designs)
+        summed = split is None and (own or not absorption.fe)
         size = samples_at_once(len(prepared.variables)) if summed else job.wave_size(
             prepared.n_rows
         )
         for at in range(0, len(masks), size):
             wave = masks[at : at + size]
             if summed:
-                part = _summed(prepared, job, focus, absorption, models, wave)
+                part = (_levelled if own else _summed)(prepared, job, focus, absorption, models, wave)
             else:
                 part = _wave(prepared, job, focus, absorption, models, wave, split)
             done = part if done is None else done.unionByName(part)
@@ -260,6 +262,26 @@ def _summed(panel, job, focus, absorption, models, masks) -> DataFrame:
     return result
 
 
+def _levelled(panel, job, focus, absorption, models, masks) -> DataFrame:
+    """The same for one effect by which the designs are clustered."""
+    setup = Setup(absorption, panel, None)
+    tensors, grams, kept, left, table = level_samples(panel, masks, 1, absorption.fe[0])
+    done = None
+    for designs, facts in ((absorption.droppers, left), (absorption.keepers, kept)):
+        if designs:
+            own = {sid: grams[sid] for sid in facts}
+            solved = _solved(_models_of(panel, models, masks), own, facts)
+            finisher = _finisher(
+                panel, job, focus, setup, designs, facts, own, dict.fromkeys(facts, 1), set(),
+                False,
+            )
+            part = durable(_finish(solved, tensors, finisher, {}))
+            solved.unpersist()
+            done = part if done is None else done.unionByName(part)
+    dropped(table)
+    return done
+
+
 class Setup:
     """Numbering of the effects and clusters of one absorption."""
 

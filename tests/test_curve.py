@@ -5,6 +5,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from dense import fit
+from pyspark.sql import functions as F
 
 from speccurve import CATALOG, SpecCurveJob, manual_design, spec_curve
 from speccurve.functions.tdist import two_sided_p
@@ -161,3 +162,14 @@ def test_several_bitmap_words(panel, frame, monkeypatch):
     monkeypatch.setattr(panel_module, "WORD_BITS", 1)
     job = replace(JOB, must=(), test=("c_size", "c_retail"), designs=("no_absorb_robust",))
     check(spec_curve(panel, job), frame, job, job.active_designs)
+
+
+def test_clustered_by_the_one_effect_copies_no_rows(panel, frame, monkeypatch):
+    """With and without singletons, against dense regressions."""
+    monkeypatch.setattr("speccurve.plans.curve.expand", None)
+    thin = panel.withColumn("firm", F.expr("CASE WHEN x < 3 THEN 10000 + y ELSE firm END"))
+    data = frame.assign(firm=frame["firm"].where(frame["x"] >= 3, 10000 + frame["y"]))
+    design = manual_design(["firm"], ["firm"], "own")
+    for drop in (True, False):
+        job = replace(JOB, designs=(), extra_designs=(design,), drop_singletons=drop)
+        check(spec_curve(thin, job), data, job, [design])
