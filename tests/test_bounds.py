@@ -151,3 +151,28 @@ def test_stored_rounds_can_be_deleted(spark):
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     assert not system.exists(path.getParent())
     assert scale.durable(spark.sql("SELECT null AS a, 1 AS b")).collect()[0]["b"] == 1
+
+
+def test_rounds_leave_no_tables_behind(spark):
+    """Two effects by conjugate gradients: the tables of a round go with the next one."""
+    import os
+
+    rows = spark.range(400).select(
+        F.lit(0).cast("long").alias("sid"), (F.col("id") % 70).alias("f0"),
+        F.pmod(F.hash("id"), F.lit(50)).alias("f1"), F.rand(1).alias("v0"),
+    ).localCheckpoint()
+    folder = scale.checkpoint_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    times, inner = [], absorb._PairEquations.times
+    absorb._PairEquations.times = lambda *a: times.append(1) or inner(*a)
+    try:
+        effects, _, loose = absorb._conjugate(rows, 2, 0, ["v0"], 100)
+    finally:
+        absorb._PairEquations.times = inner
+    assert len(times) > 10 and not loose
+    assert len(set(os.listdir(folder)) - before) <= 6
+    data = rows.toPandas().merge(effects[1].toPandas(), on=["sid", "f1"])
+    left = data["v0"] - data["_mv0"]
+    left = left - left.groupby(data["f0"]).transform("mean")
+    assert left.groupby(data["f0"]).sum().abs().max() < 1e-9
+    assert left.groupby(data["f1"]).sum().abs().max() < 1e-9
